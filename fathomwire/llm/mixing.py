@@ -94,7 +94,9 @@ def rounding(seed: int, depth: int, fan_in: int, last: bool):
     def round_bucket(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("nth", "ascending"), ("size", "ascending")]))
         rng = np.random.default_rng([seed, depth, zlib.crc32(str([x.as_py() for x in key]).encode())])
-        rows = rows.take(pa.array(rng.permutation(rows.num_rows)))
+        # longest first, so that the row that stays open at the end is a short one
+        dealt = rng.permutation(rows.num_rows)
+        rows = rows.take(pa.array(dealt[np.argsort(-rows["size"].to_numpy()[dealt], kind="stable")]))
         chance = pivotal(rows["size"].to_numpy().astype(np.float64), rows["chance"].to_numpy(), rng)
         chance = np.where(chance < 1e-9, 0.0, np.where(chance > 1 - 1e-9, 1.0, chance))
         if last:
