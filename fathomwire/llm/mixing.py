@@ -146,3 +146,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     for x in done[1:]:
         out = out.unionByName(x)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "nth")
+
+
+def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, each row as often as the mix takes it; rows alike in doc_id, source and size stand for one another."""
+    taken = stored(mix(docs, **options).select("doc_id", "source", "size", "nth", "copies"), "taken")
+    key = {"_fathomwire_id": F.col("doc_id").cast("long"), "_fathomwire_source": F.col("source").cast("string"), "_fathomwire_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")}
+    rows = docs.withColumns(key)
+    if taken.filter("nth > 1").isEmpty():
+        rows = rows.withColumn("_fathomwire_nth", F.lit(1))
+    else:
+        rows = rows.withColumn("_fathomwire_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    own = taken.filter("copies > 0").select(*[F.col(c).alias(f"_taken_{c}") for c in taken.columns])
+    same = F.col("_fathomwire_id").eqNullSafe(F.col("_taken_doc_id")) & F.col("_fathomwire_source").eqNullSafe(F.col("_taken_source")) & (F.col("_fathomwire_size") == F.col("_taken_size")) & (F.col("_fathomwire_nth") == F.col("_taken_nth"))
+    return rows.join(own, same).withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_taken_copies"))).select(*docs.columns)

@@ -39,6 +39,19 @@ def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -51,6 +64,12 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_pages, train_text
+
+    return identify_pages(table(spark, sf_dir, "pages"), train_text(table(spark, sf_dir, "documents")))
+
+
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_spans
 
@@ -83,4 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_top_k": OP10_SQL}
+    from .licenses import license_sql
+
+    return {"op5_license_digests": license_sql(), "op10_exact_top_k": OP10_SQL}
