@@ -10,8 +10,9 @@ long the signature is; if a coordinate stays empty, the rank doubles.
 
 Steps: (1) equal texts become one node; (2) nodes that agree in all coordinates of a band share a bucket, and each is held
 against the bucket's first node; (3) those pairs are verified exactly on whole texts and joined to components; (4) buckets that still hold
-several components are compared inside, in blocks, by 8-bit sketches of the signatures, across components only, and what
-is similar is verified; (5) components again.  A bucket is never expanded into all its pairs, and has no cap.
+several components are compared inside, in blocks of bounded size, by 8-bit sketches of the signatures, across components only,
+each pair in the first bucket that it shares, and what looks similar is verified on whole texts inside the block until the components
+meet; (5) components again.  Pairs inside a bucket never become rows, and a bucket has no cap.
 
 With 24 bands of 5 rows a pair of similarity 0.8 misses every bucket with a probability of 7e-5.
 
@@ -164,30 +165,76 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def near_sketches(bucket: pa.Array, least: float) -> tuple[list[int], list[int]]:
-    """Pairs of a block pair's members in different components whose sketches agree in a share of ``least``."""
+def near_sketches(bucket: pa.Array, band: int, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block pair's members in different components whose sketches agree in a share of ``least``, most alike first.
+
+    Only pairs whose first common band is ``band``: others are seen in another bucket.
+    """
     node, root, side = (bucket.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "side"))
     raw = bucket.field("sketch").to_pylist()
-    sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    left = np.flatnonzero(side != 1)
+    sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bands, -1)
     right = np.flatnonzero(side != 0)
-    a, b = [], []
-    for i in left:
-        at = right[(root[right] != root[i]) & ((node[right] > node[i]) if side[i] == 2 else True)]
-        at = at[(sketch[at] == sketch[i]).mean(1) >= least]
-        a += [int(node[i])] * len(at)
-        b += node[at].tolist()
-    return a, b
+    a, b, alike = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i in np.flatnonzero(side != 1):
+        at = right[(root[right] != root[i]) & ((node[right] > node[i]) | (side[i] != 2))]
+        same = sketch[at] == sketch[i]
+        share = same.mean((1, 2))
+        keep = (share >= least) & (same.all(2).argmax(1) == band)
+        a.append(np.full(int(keep.sum()), node[i]))
+        b.append(node[at[keep]])
+        alike.append(share[keep])
+    a, b, alike = (np.concatenate(x) for x in (a, b, alike))
+    by = np.argsort(-alike, kind="stable")
+    return a[by], b[by]
+
+
+def linked_inside(a: np.ndarray, b: np.ndarray, node: np.ndarray, root: np.ndarray, texts: list[str], width: int, least: float) -> list[tuple[int, int, float]]:
+    """Of the pairs (a, b) of a block, verified links that join components; a pair that others have joined needs no more."""
+    place = {n: i for i, n in enumerate(node.tolist())}
+    tree = {r: r for r in root.tolist()}
+
+    def top(r: int) -> int:
+        while tree[r] != r:
+            tree[r] = r = tree[tree[r]]
+        return r
+
+    parts = [counted_shingles(data, off, width) + (i,) for i, _, data, off in text_slices(pa.array(texts, pa.string()))]
+    row = np.concatenate([r + i for r, _, _, i in parts])
+    element, times = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    total = np.bincount(row, times, minlength=len(texts))
+    own = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts)))))
+    by = np.argsort(element, kind="stable")
+    posted, at_row, at_times = element[by], row[by], times[by]
+    known: dict[int, np.ndarray] = {}
+
+    def similar(i: int) -> np.ndarray:
+        if i not in known:  # against all texts of the block at once
+            mine = slice(own[i], own[i + 1])
+            low, high = np.searchsorted(posted, element[mine], "left"), np.searchsorted(posted, element[mine], "right")
+            n = high - low
+            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(at_row[at], np.minimum(np.repeat(times[mine], n), at_times[at]), minlength=len(texts))
+            known[i] = common / np.maximum(total + total[i] - common, 1)
+        return known[i]
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = place[x], place[y]
+        r, t = top(int(root[i])), top(int(root[j]))
+        if r != t and (got := float(similar(i)[j])) >= least:
+            tree[max(r, t)] = min(r, t)
+            out.append((x, y, got))
+    return out
 
 
 def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(signed rows, nodes with digest, root, first, alike and links)."""
+    """(signed rows, nodes with digest, root, first and alike)."""
     sign = stored(signed(docs, width, bands, rows), "signed")
     nodes = stored(
         sign.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("alike"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    keyed = stored(nodes.filter("keys IS NOT NULL").select("node", F.explode("keys").alias("key")), "keyed")
+    keyed = stored(nodes.filter("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key")), "keyed")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     member = stored(keyed.join(hubs, "key"), "members")
     stars = stored(member.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
@@ -211,44 +258,52 @@ def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, bl
     links = links.unionByName(verified(tried, texts, width, least))
     roots = components(links)
 
-    inside = stored(rooted(member.select("key", "node", "n"), "node", "root"), "inside")
+    inside = stored(rooted(member.select("key", "band", "node", "n"), "node", "root"), "inside")
     split = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
     left = inside.join(split, "key").join(nodes.select("node", "sketch"), "node")
     blocks = F.ceil(F.col("n") / block).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    held = left.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", side.alias("side"), "sketch")).alias("bucket"))
+    held = left.groupBy("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", side.alias("side"), "sketch")).alias("bucket"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [near_sketches(x.values, least - 0.12) for x in batch.column(0)]
-            yield pa.record_batch([pa.array([v for a, _ in found for v in a], pa.int64()), pa.array([v for _, b in found for v in b], pa.int64())], ["a", "b"])
+            found = [near_sketches(x.values, k.as_py(), bands, least - 0.12) for k, x in zip(batch.column(1), batch.column(4), strict=True)]
+            at = [i for i, (a, _) in enumerate(found) if len(a)]
+            part = batch.select(["key", "i", "j"]).take(pa.array(at, pa.int64()))
+            yield pa.record_batch([*part.columns, *[pa.array([found[i][k].tolist() for i in at], pa.list_(pa.int64())) for k in (0, 1)]], ["key", "i", "j", "a", "b"])
 
-    close = held.select("bucket").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    seen = first_hub.unionByName(tried)
-    close = stored(close.join(seen, ["a", "b"], "left_anti"), "close")
-    links = stored(links.unionByName(verified(close, texts, width, least)), "all-links")
-    roots = components(links)
+    close = stored(held.mapInArrow(look, "key long, i int, j int, a array<long>, b array<long>"), "close")
+    needed = close.select("key", "i", "j", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    told = rooted(needed, "node", "root").join(texts, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "root", "text")).alias("members"))
 
-    degree = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    classed = rooted(nodes.select("node", "digest", "first", "alike"), "node", "root").join(degree, "node", "left")
-    classed = stored(classed.select("digest", "root", "first", "alike", F.coalesce("links", F.lit(0)).alias("links")), "classed")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_out: list[tuple[int, int, float]] = []
+            for a, b, members in zip(*(batch.column(k) for k in range(3)), strict=True):
+                node, root = (members.values.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root"))
+                rows_out += linked_inside(a.values.to_numpy(), b.values.to_numpy(), node, root, members.values.field("text").to_pylist(), width, least)
+            yield pa.record_batch([pa.array([r[k] for r in rows_out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["a", "b", "similarity"])
+
+    more = close.join(told, ["key", "i", "j"]).select("a", "b", "members").mapInArrow(judge, "a long, b long, similarity double")
+    links = stored(links.unionByName(more), "all-links")
+    roots = components(links)
+    classed = stored(rooted(nodes.select("node", "digest", "first", "alike"), "node", "root").select("digest", "root", "first", "alike"), "classed")
     return sign, classed
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 256) -> DataFrame:
-    """(doc_id, class_id, class_size, links): a row for each document.
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 128) -> DataFrame:
+    """(doc_id, class_id, class_size): a row for each document.
 
-    ``class_id`` is the smallest doc_id of the document's class, ``class_size`` its documents, and ``links`` the verified
-    links of the document's text to other texts.
+    ``class_id`` is the smallest doc_id of the document's class, ``class_size`` its documents.
     """
     sign, classed = classes(docs, least, width, bands, rows, block)
     sizes = classed.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("alike").alias("class_size"))
-    found = classed.join(sizes, "root").select("digest", "class_id", "class_size", "links")
-    return sign.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "class_size", "links")
+    found = classed.join(sizes, "root").select("digest", "class_id", "class_size")
+    return sign.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "class_size")
 
 
-def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 256) -> DataFrame:
+def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 128) -> DataFrame:
     """One row of ``docs`` for each class: of the smallest doc_id (null last), of rows that share it the one of the smallest digest."""
     sign, classed = classes(docs, least, width, bands, rows, block)
     kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select("k.first", "k.hex"), "kept")
