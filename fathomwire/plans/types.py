@@ -113,10 +113,26 @@ FAST = Options(validate_utf8=False)
 UNLIMITED = Options(Limits(0, 0, 0, 0, 0, 0))
 
 
+_PLAIN = {t.simpleString(): t for t in (T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType(), T.BinaryType())}
+
+
+def spark_type(text: str) -> T.DataType:
+    """The type of a scalar kind, a plain Spark type name, or array<...> and map<...> of those; needs no session."""
+    if text in SPARK_TYPE or text in _PLAIN:
+        return SPARK_TYPE.get(text) or _PLAIN[text]
+    head, _, rest = text.partition("<")
+    if head == "array" and rest.endswith(">"):
+        return T.ArrayType(spark_type(rest[:-1]))
+    if head == "map" and rest.endswith(">"):
+        key, _, value = rest[:-1].partition(",")
+        return T.MapType(spark_type(key.strip()), spark_type(value.strip()))
+    raise TypeError(f"no type {text}")
+
+
 def member(name: str, data_type: T.DataType | str, number: int, kind: str | None = None, pointer: bool = False, required: bool = False, size: int | None = None, comment: str | None = None) -> T.StructField:
     """A StructField with its wire attributes; ``kind`` is needed where the Spark type leaves it open (unsigned, enum, complex)."""
     if isinstance(data_type, str):
-        data_type = SPARK_TYPE.get(data_type) or T._parse_datatype_string(data_type)
+        data_type = spark_type(data_type)
     meta = {"field_number": number} | {k: v for k, v in (("kind", kind), ("pointer", pointer), ("required", required), ("fixed_size", size), ("comment", comment)) if v}
     return T.StructField(name, data_type, True, meta)
 
