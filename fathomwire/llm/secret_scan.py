@@ -32,6 +32,8 @@ BASE = {
     "hex": r"[0-9a-f]{32,}",
 }
 KINDS = [*BASE, "random"]
+OWN = "_fathomwire_"
+SPANS = f"{OWN}spans"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
 
 # Alphabets in their own order, by encoding; the first that has all of a candidate's characters is meant.
@@ -154,20 +156,20 @@ def found_by(text: Column, pattern: str, group: int) -> Column:
 
 
 def with_spans(docs: DataFrame, false_share: float = 0.05, floor: float = 0.001) -> DataFrame:
-    """``docs`` with ``_spans``: array<struct(start, kind, end)> sorted; kind is the place in KINDS."""
+    """``docs`` with ``SPANS``: array<struct(start, kind, end)> sorted; kind is the place in KINDS."""
     limits = thresholds(docs, false_share, floor)
     text = empty_text()
-    raw = docs.withColumns({f"_{kind}": found_by(text, pattern, 2 if kind == "assign" else 0) for kind, pattern in BASE.items()} | {"_random": found_by(text, CANDIDATE, 0)})
+    raw = docs.withColumns({f"{OWN}{kind}": found_by(text, pattern, 2 if kind == "assign" else 0) for kind, pattern in BASE.items()} | {f"{OWN}random": found_by(text, CANDIDATE, 0)})
 
     def spans(column: Column, kind: str) -> Column:
         return F.transform(column, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
-    base = F.concat(spans(F.filter("_assign", lambda m: F.length(m["part"]) >= 8), "assign"), spans(F.col("_access"), "access"), spans(F.col("_hex"), "hex"))
+    base = F.concat(spans(F.filter(f"{OWN}assign", lambda m: F.length(m["part"]) >= 8), "assign"), spans(F.col(f"{OWN}access"), "access"), spans(F.col(f"{OWN}hex"), "hex"))
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None).cast("map<string,double>")
-    noisy = F.filter("_random", lambda m: let(randomness(m["part"]), lambda r: r["p"] >= F.coalesce(F.element_at(limit, r["stratum"]), F.lit(2.0))))
-    own = raw.withColumn("_base", base).withColumn("_noisy", spans(noisy, "random"))
-    new = F.filter("_noisy", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return own.withColumn("_spans", F.array_sort(F.concat("_base", new))).drop("_base", "_noisy", *[f"_{k}" for k in KINDS])
+    noisy = F.filter(f"{OWN}random", lambda m: let(randomness(m["part"]), lambda r: r["p"] >= F.coalesce(F.element_at(limit, r["stratum"]), F.lit(2.0))))
+    own = raw.withColumn(f"{OWN}base", base).withColumn(f"{OWN}noisy", spans(noisy, "random"))
+    new = F.filter(f"{OWN}noisy", lambda m: ~F.exists(f"{OWN}base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
+    return own.withColumn(SPANS, F.array_sort(F.concat(f"{OWN}base", new))).drop(f"{OWN}base", f"{OWN}noisy", *[f"{OWN}{k}" for k in KINDS])
 
 
 def as_text(spans: Column) -> Column:
@@ -180,11 +182,11 @@ def secret_spans(docs: DataFrame, **options) -> DataFrame:
     rows = with_spans(docs.select("doc_id", "text"), **options)
 
     def of_kind(i: int) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("long")
+        return F.size(F.filter(SPANS, lambda s: s["kind"] == i)).cast("long")
 
     count = {f"n_{k}": of_kind(i) for i, k in enumerate(KINDS)}
-    base = as_text(F.filter("_spans", lambda s: s["kind"] < len(BASE)))
-    return rows.select("doc_id", *[c.alias(n) for n, c in count.items() if n != "n_random"], F.sha2(base, 256).alias("base_sha256"), as_text(F.col("_spans")).alias("spans"), count["n_random"].alias("n_random"))
+    base = as_text(F.filter(SPANS, lambda s: s["kind"] < len(BASE)))
+    return rows.select("doc_id", *[c.alias(n) for n, c in count.items() if n != "n_random"], F.sha2(base, 256).alias("base_sha256"), as_text(F.col(SPANS)).alias("spans"), count["n_random"].alias("n_random"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
@@ -196,8 +198,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         between = F.when(s["start"] >= acc["at"], F.concat(F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.char_length("text") - acc["at"], F.lit(0)))))
-    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
-    changed = rows.withColumn("_text", text)
-    columns = [F.col("_text").alias("text") if c == "text" else F.when(F.size("_spans") > 0, F.char_length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    clean = F.aggregate(SPANS, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.char_length("text") - acc["at"], F.lit(0)))))
+    text = F.when(F.size(SPANS) > 0, clean).otherwise(F.col("text"))
+    changed = rows.withColumn(f"{OWN}text", text)
+    columns = [F.col(f"{OWN}text").alias("text") if c == "text" else F.when(F.size(SPANS) > 0, F.char_length(f"{OWN}text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return changed.select(*columns)
