@@ -158,7 +158,7 @@ def fused(rows: DataFrame, model: TextModel, strong: float = 5.0, least: float =
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in k]
 
     def grouped(name: str) -> DataFrame:
-        return stored(share.filter(F.col(f"{OWN}{name}").isNotNull()).groupBy(F.col(f"{OWN}{name}").alias(f"{name}_key")).agg(*sums), name)
+        return stored(share.filter(F.col(f"{OWN}{name}").isNotNull()).groupBy(F.col(f"{OWN}{name}").alias(f"{OWN}{name}_key")).agg(*sums), name)
 
     everything = share.agg(*sums).first()
     whole = sum(everything[f"p{i}"] or 0.0 for i in k)
@@ -167,26 +167,26 @@ def fused(rows: DataFrame, model: TextModel, strong: float = 5.0, least: float =
     for name in ("declared", "suffix"):  # P(value | language) for each value seen
         of = grouped(name)
         total = of.agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in k], F.count("*").alias("n")).first()
-        chance = [F.log((F.col(f"p{i}") + 0.5) / ((total[f"p{i}"] or 0.0) + 0.5 * (total["n"] + 1))).alias(f"{name}_{i}") for i in k]
-        out = out.join(of.select(f"{name}_key", *chance), F.col(f"{OWN}{name}") == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+        chance = [F.log((F.col(f"p{i}") + 0.5) / ((total[f"p{i}"] or 0.0) + 0.5 * (total["n"] + 1))).alias(f"{OWN}{name}_{i}") for i in k]
+        out = out.join(of.select(f"{OWN}{name}_key", *chance), F.col(f"{OWN}{name}") == F.col(f"{OWN}{name}_key"), "left").drop(f"{OWN}{name}_key")
 
     def smoothed(name: str, up: list[Column], weight: Column) -> list[Column]:
-        return [(F.coalesce(F.col(f"{name}_{i}"), F.lit(0.0)) + strong * up[i]) / (weight + strong) for i in k]
+        return [(F.coalesce(F.col(f"{OWN}{name}_{i}"), F.lit(0.0)) + strong * up[i]) / (weight + strong) for i in k]
 
     for name in ("domain", "host"):
-        of = grouped(name).select(f"{name}_key", *[F.col(f"p{i}").alias(f"{name}_{i}") for i in k])
-        out = out.join(of, F.col(f"{OWN}{name}") == F.col(f"{name}_key"), "left").drop(f"{name}_key")
-    weight = {name: reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{name}_{i}"), F.lit(0.0)) for i in k]) for name in ("domain", "host")}
+        of = grouped(name).select(f"{OWN}{name}_key", *[F.col(f"p{i}").alias(f"{OWN}{name}_{i}") for i in k])
+        out = out.join(of, F.col(f"{OWN}{name}") == F.col(f"{OWN}{name}_key"), "left").drop(f"{OWN}{name}_key")
+    weight = {name: reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{OWN}{name}_{i}"), F.lit(0.0)) for i in k]) for name in ("domain", "host")}
     prior = smoothed("host", smoothed("domain", [F.lit(x) for x in overall], weight["domain"]), weight["host"])
     zero = F.lit(0.0)
-    joint = [F.log(prior[i]) + F.when(has, ll[i]).otherwise(zero) + F.coalesce(F.col(f"declared_{i}"), zero) + F.coalesce(F.col(f"suffix_{i}"), zero) for i in k]
+    joint = [F.log(prior[i]) + F.when(has, ll[i]).otherwise(zero) + F.coalesce(F.col(f"{OWN}declared_{i}"), zero) + F.coalesce(F.col(f"{OWN}suffix_{i}"), zero) for i in k]
     out = out.withColumns({f"{OWN}j{i}": joint[i] for i in k})
     joint = [F.col(f"{OWN}j{i}") for i in k]
     top = F.greatest(*joint) if len(joint) > 1 else joint[0]
     lang = reduce(lambda acc, i: F.when(joint[i] == top, F.lit(model.languages[i])).otherwise(acc), reversed(k), F.lit(None).cast("string"))
     out = out.withColumns({f"{OWN}lang": lang, f"{OWN}posterior": F.exp(top - log_sum(joint))})
     rejected = ~has | (F.col(f"{OWN}posterior") < least) | (F.col(f"{OWN}fit") < -fit)
-    helpers = [f"{n}_{i}" for n in ("declared", "suffix", "domain", "host") for i in k] + [f"{OWN}j{i}" for i in k]
+    helpers = [f"{OWN}{n}_{i}" for n in ("declared", "suffix", "domain", "host") for i in k] + [f"{OWN}j{i}" for i in k]
     return out.withColumn(f"{OWN}rejected", F.coalesce(rejected, F.lit(True))).drop(*helpers)
 
 

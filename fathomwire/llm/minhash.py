@@ -306,9 +306,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands:
 def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 128) -> DataFrame:
     """One row of ``docs`` for each class: of the smallest doc_id (null last), of rows that share it the one of the smallest digest."""
     sign, classed = classes(docs, least, width, bands, rows, block)
-    kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select("k.first", "k.hex"), "kept")
+    kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select(F.col("k.first").alias("_fathomwire_first"), F.col("k.hex").alias("_fathomwire_hex")), "kept")
     key = F.md5(empty_text())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("first")) & (F.upper(key) == F.col("hex"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_fathomwire_first")) & (F.upper(key) == F.col("_fathomwire_hex"))
     found = docs.join(kept, same, "left_semi")
     again = sign.groupBy("doc_id", "digest").count().filter("count > 1")
     if again.isEmpty():

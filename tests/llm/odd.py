@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `start` long, node long, target string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `start` long, first long, host_0 string"
 
 
 def words(rng: random.Random, n: int) -> str:
