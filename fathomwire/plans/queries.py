@@ -15,6 +15,7 @@ from fathomwire.operators.encode import to_wire, wire_size, wire_type_id
 from fathomwire.operators.evolution import conformance, read_as
 from fathomwire.operators.frames import explode_frames, gather_frames
 from fathomwire.plans.types import STRICT, member
+from fathomwire.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,7 +107,11 @@ def of(schema: T.StructType) -> Column:
 
 
 def encoded(df: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
-    return df.select(*keep, to_wire(of(schema), schema).alias("payload"))
+    needed = list(dict.fromkeys([*keep, *schema.fieldNames()]))
+    rows = df.select(*needed)
+    if not df.isStreaming:
+        rows = spread(rows)
+    return rows.select(*keep, to_wire(of(schema), schema).alias("payload"))
 
 
 @query(f"SELECT o_orderkey, CAST({sql_zigzag('(o_orderkey - 5000)')} AS BIGINT) AS zigzag FROM orders")
@@ -172,7 +177,7 @@ _LINE_SIZE = "1 + " + " + ".join({"LongType": sql_int, "IntegerType": sql_int, "
 def lineitem_wire_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded sizes without encoding."""
     size = wire_size(of(LINE), LINE)
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", size.alias("size"))
+    rows = spread(table(spark, sf_dir, "lineitem").select(*LINE.fieldNames())).select("l_returnflag", "l_linestatus", size.alias("size"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"), F.max("size").cast("int").alias("most"))
 
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -22,3 +22,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(PACKAGE.parent))
     sc.addPyFile(str(target))
     sc._fathomwire_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files have fewer splits than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
