@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomwire.functions import wire
+from fathomwire.functions import values, wire
 from fathomwire.operators.decode import decoded
 from fathomwire.operators.encode import to_wire, wire_size, wire_type_id
 from fathomwire.operators.evolution import conformance, read_as
 from fathomwire.operators.frames import explode_frames, gather_frames
-from fathomwire.plans.types import STRICT, member
+from fathomwire.plans.types import STRICT, member, union
 from fathomwire.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +220,7 @@ def customer_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _union(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, T.StructType]:
-    item = T.StructType([T.StructField("document", DOCUMENT, True, {"type_id": 128}), T.StructField("page", PAGE, True, {"type_id": 129})])
+    item = union({"document": (128, DOCUMENT), "page": (129, PAGE)})
     wrapped = T.StructType([T.StructField("item", item, True, {"field_number": 1})])
     docs = table(spark, sf_dir, "documents").select(F.struct(of(DOCUMENT).alias("document"), F.lit(None).cast(PAGE).alias("page")).alias("item"))
     pages = table(spark, sf_dir, "pages").select(F.struct(F.lit(None).cast(DOCUMENT).alias("document"), of(PAGE).alias("page")).alias("item"))
@@ -285,6 +285,42 @@ def dedupe_by_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(groups, "payload", schema).select("record.*", "n")
 
 
+_WORDS = r"regexp_replace(lower(regexp_replace(p_type || ' ' || p_brand, '[^A-Za-z0-9]+', ' ', 'g')), '^ | $', '', 'g')"
+
+
+@query(f"SELECT p_partkey, replace({_WORDS}, ' ', '_') AS snake, replace({_WORDS}, ' ', '-') AS kebab, upper(replace({_WORDS}, ' ', '_')) AS upper_snake FROM part")
+def part_name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers in several spellings."""
+    name = F.concat_ws(" ", F.upper("p_type"), F.upper("p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    c = F.col("name")
+    return rows.select("p_partkey", values.snake_case(c).alias("snake"), values.kebab_case(c).alias("kebab"), values.upper_snake_case(c).alias("upper_snake"))
+
+
+ACTIONS = {0: "click", 1: "error", 2: "purchase", 3: "signup", 4: "view"}
+
+
+@query("SELECT event_id, event_type AS name, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS seconds, CAST((epoch_us(ts) % 1000000) * 1000 AS INTEGER) AS nanos FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view')")
+def events_enum_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enums by number and time stamps as nested records."""
+    clock = T.StructType([member("seconds", "int64", 1), member("nanos", "int32", 2)])
+    schema = T.StructType([member("event_id", "int64", 1), member("action", "int32", 2, "enum"), T.StructField("at", clock, True, {"field_number": 3})])
+    rows = table(spark, sf_dir, "events").select("event_id", values.enum_number(F.col("event_type"), ACTIONS).alias("action"), values.timestamp_parts(F.col("ts").cast("timestamp")).alias("at"))
+    back = decoded(encoded(rows.filter("action IS NOT NULL"), schema), "payload", schema).filter("error IS NULL").select("record.*")
+    return back.select("event_id", values.enum_name(F.col("action"), ACTIONS).alias("name"), "at.seconds", "at.nanos")
+
+
+@query("SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS bytes, CAST(list_max(embedding) AS DOUBLE) AS most, CAST(list_min(embedding) AS DOUBLE) AS least FROM embeddings")
+def embeddings_raw_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of floats without a count."""
+    raw = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", values.packed_floats(F.col("embedding")).alias("payload"))
+    schema = T.StructType([member("values", "array<float>", 1)])
+    # with a tag, a count and an end the run is a record
+    counted = raw.select("vec_id", F.octet_length("payload").alias("bytes"), F.concat(wire.raw(wire.compact_tag(1, 2)), wire.uvarint(F.octet_length("payload") / 4), F.col("payload"), wire.raw(b"\0")).alias("payload"))
+    back = decoded(counted, "payload", schema).filter("error IS NULL")
+    return back.select("vec_id", "bytes", F.array_max("record.values").cast("double").alias("most"), F.array_min("record.values").cast("double").alias("least"))
+
+
 @query()
 def malformed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads cut short by 0 to 10 bytes, by the fault that strict decoding finds."""

@@ -389,3 +389,16 @@ def from_struct(name: str, struct: T.StructType, package: str = "") -> Schema:
 
     add(name, members(struct))
     return s
+
+
+def from_tables(tables: dict[str, T.StructType], package: str = "", include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = (), interface: str | None = None) -> Schema:
+    """A schema of several DataFrames' rows, by name patterns; ``interface`` joins them under type ids from 128 on."""
+    from fnmatch import fnmatch
+
+    names = sorted(n for n in tables if any(fnmatch(n, p) for p in include) and not any(fnmatch(n, p) for p in exclude))
+    s = Schema(package)
+    for name in names:
+        s.entries += from_struct(name, tables[name]).entries
+    if interface:
+        s.entries.append(Entry("interface", interface, [Field(n, 128 + i, Type("message")) for i, n in enumerate(names)]))
+    return s

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -194,3 +195,13 @@ def record(struct: T.StructType, limits: Limits = DEFAULT.limits) -> Shape:
     if limits.depth and shape.depth() > limits.depth:
         raise ValueError(f"records nest {shape.depth()} deep; the limit is {limits.depth}")
     return shape
+
+
+def union(branches: dict[str, tuple[int, T.StructType]]) -> T.StructType:
+    """A union's type from name -> (type id, record); ids must be positive and different, and below 128 they are reserved."""
+    ids = [i for i, _ in branches.values()]
+    if len(set(ids)) < len(ids) or min(ids, default=1) < 1:
+        raise ValueError("type ids must be positive and different")
+    if min(ids, default=128) < 128:
+        warnings.warn("type ids below 128 are reserved", stacklevel=2)
+    return T.StructType([T.StructField(name, record_type, True, {"type_id": i}) for name, (i, record_type) in branches.items()])
