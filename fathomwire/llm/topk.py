@@ -26,26 +26,29 @@ from pyspark.sql import functions as F
 
 from .vectors import matrix, paired, same_width, usable
 
+TILE = 8
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def scores_by_term(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products of integer rows: for each term its postings are scattered into the queries' score arrays."""
     most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
-    kind = np.int64 if most < 1 << 62 else object
-    queries, vectors = (x.astype(np.int64) if kind is np.int64 else np.vectorize(int, otypes=[object])(x) for x in (queries, vectors))
+    kind = np.int32 if most < 1 << 30 else np.int64 if most < 1 << 62 else object
+    queries, vectors = (np.vectorize(int, otypes=[object])(x) if kind is object else x.astype(kind) for x in (queries, vectors))
+    terms = np.ascontiguousarray(vectors.T)
+    postings = [(at, terms[term, at]) for term in range(len(terms)) for at in [np.flatnonzero(terms[term])]]
     scores = np.zeros((len(queries), len(vectors)), kind)
-    for term in range(queries.shape[1]):
-        posted = np.flatnonzero(vectors[:, term])
-        asking = np.flatnonzero(queries[:, term])
-        if len(posted) == 0 or len(asking) == 0:
-            continue
-        weights, own = vectors[posted, term], queries[asking, term]
-        if len(posted) == len(vectors) and len(asking) == len(queries):
-            scores += own[:, None] * weights[None]
-        else:
-            scores[np.ix_(asking, posted)] += own[:, None] * weights[None]
-    return scores if kind is np.int64 else np.clip(scores, LOW, HIGH).astype(np.int64)
+    for first in range(0, len(queries), TILE):  # as many score arrays at a time as stay in a core's cache
+        tile, own = scores[first : first + TILE], queries[first : first + TILE]
+        for term, (posted, weights) in enumerate(postings):
+            asking = np.flatnonzero(own[:, term])
+            if len(posted) == 0 or len(asking) == 0:
+                continue
+            if 2 * len(posted) >= len(vectors) and 2 * len(asking) >= len(own):  # so full that gaps cost less than places
+                tile += own[:, term, None] * terms[None, term]
+            else:
+                tile[np.ix_(asking, posted)] += own[asking, term][:, None] * weights[None]
+    return np.clip(scores, LOW, HIGH).astype(np.int64) if kind is object else scores.astype(np.int64)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
