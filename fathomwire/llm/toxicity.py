@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, kept: int =
         for batch in batches:
             toxic = (batch.column(1).to_numpy() > 0).astype(np.int64)
             n += np.bincount(toxic, minlength=2)
-            for i, j, data, off in text_slices(batch.column(2)):
+            for i, j, data, off in text_slices(batch.column(2), 1 << 19):
                 row, feature = features(data, off)
                 for k in (0, 1):
                     total[k] += np.bincount(feature[toxic[i:j][row] == k], minlength=1 << BITS)
