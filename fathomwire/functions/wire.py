@@ -70,14 +70,30 @@ def _two_digits(value: Column) -> Column:
 def _uvarint_hex(bits: Column) -> Column:
     low, more = F.lit(127).cast("long"), F.lit(128).cast("long")
 
-    def general(v: Column) -> Column:
-        def group(i: Column, n: Column) -> Column:
-            g = F.call_function("shiftrightunsigned", v, i * 7).bitwiseAND(low)
-            return _two_digits(F.when(i < n - 1, g.bitwiseOR(more)).otherwise(g))
-
-        return let(uvarint_size(v), lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: group(i, n)), ""))
-
-    return let(bits.cast("long"), lambda v: F.when((v >= 0) & (v < 128), _two_digits(v)).otherwise(general(v)))
+    def packed(v: Column, n: int) -> Column:
+        """The n bytes as one number, the first byte highest."""
+        total = None
+        for i in range(n):
+            group = F.shiftrightunsigned(v, 7 * i).bitwiseAND(low)
+            group = F.shiftleft(group.bitwiseOR(more) if i < n - 1 else group, 8 * (n - 1 - i))
+            total = group if total is None else total.bitwiseOR(group)
+        return F.lpad(F.hex(total), 2 * n, "0")
+
+    def long_form(v: Column, n: int) -> Column:
+        last = [_two_digits(F.shiftrightunsigned(v, 7 * i).bitwiseAND(low).bitwiseOR(more if i < n - 1 else F.lit(0).cast("long"))) for i in range(8, n)]
+        head = None
+        for i in range(8):
+            group = F.shiftleft(F.shiftrightunsigned(v, 7 * i).bitwiseAND(low).bitwiseOR(more), 8 * (7 - i))
+            head = group if head is None else head.bitwiseOR(group)
+        return F.concat(F.lpad(F.hex(head), 16, "0"), *last)
+
+    def spell(v: Column) -> Column:
+        out = long_form(v, 9)
+        for n in range(8, 0, -1):
+            out = F.when(v < (1 << 7 * n), packed(v, n)).otherwise(out)
+        return F.when(v < 0, long_form(v, 10)).otherwise(out)
+
+    return let(bits.cast("long"), spell)
 
 
 def uvarint(bits: Column) -> Column:
@@ -94,10 +110,14 @@ def fixed_le(bits: Column, size: int) -> Column:
     """``size`` little-endian bytes of a number."""
     low = F.lit(255).cast("long")
 
-    def spread(v: Column) -> Column:
-        return F.concat(*[_two_digits(F.shiftrightunsigned(v, 8 * i).bitwiseAND(low)) for i in range(size)])
+    def turned(v: Column) -> Column:
+        total = None
+        for i in range(size):
+            part = F.shiftleft(F.shiftrightunsigned(v, 8 * i).bitwiseAND(low), 8 * (size - 1 - i))
+            total = part if total is None else total.bitwiseOR(part)
+        return F.lpad(F.hex(total), 2 * size, "0")
 
-    return F.unhex(let(bits.cast("long"), spread))
+    return F.unhex(let(bits.cast("long"), turned))
 
 
 def canonical_float(value: Column) -> Column:

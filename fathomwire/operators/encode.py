@@ -98,10 +98,25 @@ def to_wire(value: Column, schema: T.StructType, options: Options = DEFAULT) ->
     """The canonical bytes of a struct column; a null struct gives null."""
     out = body(value, record(schema, options.limits), options.omit_empty)
     if options.limits.message:
-        out = F.when(F.octet_length(out) > options.limits.message, F.raise_error(F.lit("message too large"))).otherwise(out)
+        shape, limit = record(schema), options.limits.message
+        large = (size_bound(value, shape) > limit) & (body_size(value, shape, options.omit_empty) > limit)  # the second only where the first holds
+        out = F.when(large, F.raise_error(F.lit("message too large"))).otherwise(out)
     return F.when(value.isNotNull(), out)
 
 
+def size_bound(value: Column, shape: Shape) -> Column:
+    """At least ``body_size``, and cheap: lengths of texts and lists, and the most that a number takes."""
+    if shape.kind in ("string", "bytes"):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 5
+    if shape.kind == "record":
+        return reduce(lambda a, b: a + b, [size_bound(value[m.name], m.shape) + 6 for m in shape.fields], F.lit(1).cast("long"))
+    if shape.kind == "list" and shape.item.kind not in ("string", "bytes", "record", "list", "map", "union"):
+        return F.coalesce(F.size(value), F.lit(0)).cast("long") * 16 + 5
+    if shape.kind in ("list", "map", "union"):
+        return body_size(value, shape, False).cast("long") + 1
+    return F.lit(16).cast("long")
+
+
 def body_size(value: Column, shape: Shape, omit_empty: bool = True) -> Column:
     """Bytes of ``body``, without making them."""
     if shape.pointer:
