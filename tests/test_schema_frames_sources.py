@@ -75,13 +75,13 @@ def test_parsing_goes_on_after_a_fault():
 
 
 def test_imports(tmp_path):
-    (tmp_path / "a.cram").write_text('package p; import "b.cram" as b; message A { b.B x = 1; }')
-    (tmp_path / "b.cram").write_text("package q; message B { int32 y = 1; }")
-    s, found = L.load(str(tmp_path / "a.cram"))
+    (tmp_path / "a.schema").write_text('package p; import "b.schema" as b; message A { b.B x = 1; }')
+    (tmp_path / "b.schema").write_text("package q; message B { int32 y = 1; }")
+    s, found = L.load(str(tmp_path / "a.schema"))
     assert not L.check(s, found) and L.struct_types(s, found)["A"]["x"].dataType.fieldNames() == ["y"]
-    (tmp_path / "b.cram").write_text('package q; import "a.cram"; message B { int32 y = 1; }')
+    (tmp_path / "b.schema").write_text('package q; import "a.schema"; message B { int32 y = 1; }')
     with pytest.raises(ValueError, match="cycle"):
-        L.load(str(tmp_path / "a.cram"))
+        L.load(str(tmp_path / "a.schema"))
 
 
 def test_schema_changes(spark):

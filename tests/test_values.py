@@ -58,7 +58,7 @@ def test_unions_and_tables():
 def test_command_line(tmp_path, capsys):
     from fathomwire.__main__ import main
 
-    good, bad = tmp_path / "a.cram", tmp_path / "b.cram"
+    good, bad = tmp_path / "a.schema", tmp_path / "b.schema"
     good.write_text("package p; message A { int32 x = 1; }")
     bad.write_text("package p; message A { Missing x = 1; }")
     assert main(["validate", str(good)]) == 0 and main(["validate", str(good), str(bad)]) == 1 and main([]) == 64
