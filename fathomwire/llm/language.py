@@ -23,10 +23,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, empty_text, stored, text_slices
+from .common import GOLD, stored, text_slices
 
 BITS = 16
 OWN = "_fathomwire_"
@@ -78,13 +79,14 @@ def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", la
     known = docs.filter(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     known = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string"))
     share = min(1.0, 0.9 * sample / max(1, docs.count()))
-    rows = known.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text").limit(sample)
+    # nine tenths of ``sample`` on the average, so that more than ``sample`` is out of the question
+    rows = known.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 62)) < int(share * (1 << 62))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for i, _, data, off in text_slices(batch.column(1)):
+            for i, _, data, off in text_slices(batch.column(1), 1 << 19):
                 bound, codes = sequences(data, off)
                 for k in range(len(bound) - 1):
                     if len(own := codes[bound[k] : bound[k + 1]]):
@@ -108,7 +110,7 @@ def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", la
             m = shared.value
             for batch in batches:
                 langs = batch.column(0).to_pylist()
-                for i, _, data, off in text_slices(batch.column(1)):
+                for i, _, data, off in text_slices(batch.column(1), 1 << 19):
                     n, ll, _ = m.likelihoods(data, off, 1)
                     known = [(langs[i + k], float(ll[k, m.languages.index(langs[i + k])])) for k in range(len(n)) if n[k] >= 100 and langs[i + k] in m.languages]
                     yield pa.record_batch([pa.array([x for x, _ in known], pa.string()), pa.array([v for _, v in known], pa.float64())], ["lang", "each"])
@@ -118,24 +120,21 @@ def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", la
     return model
 
 
-def with_likelihoods(rows: DataFrame, model: TextModel, text: Column, strength: int) -> DataFrame:
-    """``rows`` with the text's number of sequences, log-likelihoods and fit."""
+def with_likelihoods(rows: DataFrame, model: TextModel, column: str, strength: int) -> DataFrame:
+    """``rows`` with the number of sequences, log-likelihoods and fit of the text in ``column``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    texted = rows.withColumn(f"{OWN}text", text)
     schema = rows.withColumns({f"{OWN}n": F.lit(0), f"{OWN}ll": F.array(F.lit(0.0)), f"{OWN}fit": F.lit(0.0)}).schema
-    names = schema.fieldNames()
+    names, at = schema.fieldNames(), rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            at = batch.schema.names.index(f"{OWN}text")
-            for i, j, data, off in text_slices(batch.column(at)):
+            for i, j, data, off in text_slices(pc.fill_null(batch.column(at), ""), 1 << 19):
                 n, ll, fit = m.likelihoods(data, off, strength)
-                part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
-                yield pa.record_batch([*[part.column(k) for k in range(part.num_columns) if k != at], pa.array(n, pa.int32()), lists, pa.array(fit)], names)
+                yield pa.record_batch([*batch.slice(i, j - i).columns, pa.array(n, pa.int32()), lists, pa.array(fit)], names)
 
-    return texted.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def log_sum(values: list[Column]) -> Column:
@@ -206,9 +205,9 @@ def identify_pages(pages: DataFrame, model: TextModel, strength: int = 200, **op
         none(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias(f"{OWN}suffix"),
         none(host).alias(f"{OWN}host"),
         none(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias(f"{OWN}domain"),
-        html.alias("html"),
+        visible(html).alias("seen"),
     )
-    likely = stored(with_likelihoods(rows, model, visible(F.col("html")), strength).drop("html"), "page-likelihoods")
+    likely = stored(with_likelihoods(rows, model, "seen", strength).drop("seen"), "page-likelihoods")
     out = fused(likely, model, **options)
     return out.select("page_id", *[F.col(f"{OWN}{c}").alias(c) for c in ("lang", "posterior", "declared", "suffix", "host", "rejected")])
 
@@ -218,5 +217,5 @@ def keep_identified(docs: DataFrame, model: TextModel, strength: int = 200, **op
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     rows = docs.withColumns({f"{OWN}declared": F.lower(text("lang")), f"{OWN}suffix": none, f"{OWN}host": text("source"), f"{OWN}domain": none})
-    likely = stored(with_likelihoods(rows, model, empty_text(), strength), "document-likelihoods")
+    likely = stored(with_likelihoods(rows, model, "text", strength), "document-likelihoods")
     return fused(likely, model, **options).filter(~F.col(f"{OWN}rejected")).select(*docs.columns)

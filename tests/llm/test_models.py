@@ -88,7 +88,7 @@ def model(spark, sf_dir):
 def test_text_language(spark, sf_dir, model):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert model.languages == ["de", "en", "es", "fr"]
-    rows = L.with_likelihoods(docs.select("lang", "text"), model, F.col("text"), 200).filter("_fathomwire_n > 100").collect()
+    rows = L.with_likelihoods(docs.select("lang", "text"), model, "text", 200).filter("_fathomwire_n > 100").collect()
     right = [model.languages[int(np.argmax(r["_fathomwire_ll"]))] == r.lang for r in rows]
     assert np.mean(right) > 0.95
 
