@@ -14,8 +14,8 @@ from array import array
 
 import pyarrow as pa
 
-WORD_LIMIT = 500_000
-PIECE_LIMIT = 250_000
+WORD_LIMIT = 300_000
+PIECE_LIMIT = 400_000
 LONG_WORD = 64
 
 
@@ -26,17 +26,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(spare)) for b in range(256)}
 
 
-class _Words(dict):
-    """Word -> ids; an unknown word is encoded when it is first looked up."""
+class Recent(dict):
+    """A cache of two generations: when one is full it becomes the older, and what is used again moves on."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, make, limit: int, longest: int = 1 << 30):
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONG_WORD:
-            self[word] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
 
 
 class TextEncoder:
@@ -51,8 +58,8 @@ class TextEncoder:
             spec = json.load(f)
         self.by_word = self._spaces_divide(spec)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.words = _Words(self._word)
-        self.pieces: dict[str, bytes] = {}
+        self.words = Recent(self._word, WORD_LIMIT, LONG_WORD)
+        self.pieces = Recent(self._piece, PIECE_LIMIT)
         self.letters = _byte_letters()
         # one run of Latin letters and one of signs: the pre-tokenizer parts them just there
         self.plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:;=>?@\[-`{-~]*)").fullmatch
@@ -76,12 +83,7 @@ class TextEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= PIECE_LIMIT:
-                self.pieces.clear()
-            got = self.pieces[piece] = array("I", [x.id for x in self.tokenizer.model.tokenize(piece)]).tobytes()
-        return got
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if len(word) <= LONG_WORD:
@@ -92,11 +94,11 @@ class TextEncoder:
                     letters = letters.lower()
                     if not letters.isascii():
                         letters = "".join(map(self.letters.__getitem__, letters.encode()))
-                    ids = self._piece(letters)
-                return ids + self._piece(signs) if signs else ids
+                    ids = self.pieces[letters]
+                return ids + self.pieces[signs] if signs else ids
             if not any(x in word for x in self.added):
                 t = self.tokenizer
-                return b"".join(self._piece(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
+                return b"".join(self.pieces[p] for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
         return self._whole(word)
 
     def ids(self, text: str) -> bytes:
@@ -104,8 +106,8 @@ class TextEncoder:
             return b""
         if not self.by_word:
             return self._whole(text)
-        if len(self.words) >= WORD_LIMIT:
-            self.words.clear()
+        self.words.turn()
+        self.pieces.turn()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
