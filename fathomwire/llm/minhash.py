@@ -11,10 +11,11 @@ long the signature is; if a coordinate stays empty, the rank doubles.
 Steps: (1) equal texts become one node; (2) nodes that agree in all coordinates of a band share a bucket, and each is held
 against the bucket's first node; (3) those pairs are verified exactly on whole texts and joined to components; (4) buckets that still hold
 several components are compared inside, in blocks of bounded size, by 8-bit sketches of the signatures, across components only,
-each pair in the first bucket that it shares, and what looks similar is verified on whole texts inside the block until the components
+each pair in the first bucket that it shares by the bands' whole keys, and what looks similar is verified on whole texts inside the block until the components
 meet; (5) components again.  Pairs inside a bucket never become rows, and a bucket has no cap.
 
-With 24 bands of 5 rows a pair of similarity 0.8 misses every bucket with a probability of 7e-5.
+With 24 bands of 5 rows a pair of similarity 0.8 misses every bucket with a probability of 7e-5.  The least share of equal sketches
+follows from the similarity that is asked for, so that a pair at it falls below with a probability of 1e-7 at most.
 
 Edge cases: words are runs other than space and tab to carriage return; a text of one to four words is one
 shingle; an empty or null text has none, so empty texts are alike and like nothing else; repeated
@@ -165,21 +166,35 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
+def sketch_share(coordinates: int, least: float, miss: float = 1e-7) -> float:
+    """The share of equal coordinates below which a pair of similarity ``least`` falls with a probability of ``miss`` at most."""
+    below, count = 0.0, 0
+    while count < coordinates:
+        below += math.comb(coordinates, count) * least**count * (1 - least) ** (coordinates - count)
+        if below > miss:
+            break
+        count += 1
+    return max(0.0, (count - 0.5) / coordinates)  # half a coordinate of room for rounding
+
+
 def near_sketches(bucket: pa.Array, band: int, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block pair's members in different components whose sketches agree in a share of ``least``, most alike first.
 
-    Only pairs whose first common band is ``band``: others are seen in another bucket.
+    Only pairs whose first common band is ``band``: others are seen in another bucket.  Bands are common if their whole
+    keys are equal; where a bucket carries no keys, if their sketches are.
     """
     node, root, side = (bucket.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "side"))
     raw = bucket.field("sketch").to_pylist()
     sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bands, -1)
+    key = bucket.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(raw), bands) if bucket.type.get_field_index("keys") >= 0 else None
     right = np.flatnonzero(side != 0)
     a, b, alike = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in np.flatnonzero(side != 1):
         at = right[(root[right] != root[i]) & ((node[right] > node[i]) | (side[i] != 2))]
         same = sketch[at] == sketch[i]
         share = same.mean((1, 2))
-        keep = (share >= least) & (same.all(2).argmax(1) == band)
+        common = same.all(2) if key is None else key[at] == key[i]
+        keep = (share >= least) & (common.argmax(1) == band)
         a.append(np.full(int(keep.sum()), node[i]))
         b.append(node[at[keep]])
         alike.append(share[keep])
@@ -260,15 +275,17 @@ def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, bl
 
     inside = stored(rooted(member.select("key", "band", "node", "n"), "node", "root"), "inside")
     split = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = inside.join(split, "key").join(nodes.select("node", "sketch"), "node")
+    left = inside.join(split, "key").join(nodes.select("node", "sketch", "keys"), "node")
     blocks = F.ceil(F.col("n") / block).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    held = left.groupBy("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", side.alias("side"), "sketch")).alias("bucket"))
+    held = left.groupBy("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", side.alias("side"), "sketch", "keys")).alias("bucket"))
+
+    share = sketch_share(bands * rows, least)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [near_sketches(x.values, k.as_py(), bands, least - 0.12) for k, x in zip(batch.column(1), batch.column(4), strict=True)]
+            found = [near_sketches(x.values, k.as_py(), bands, share) for k, x in zip(batch.column(1), batch.column(4), strict=True)]
             at = [i for i, (a, _) in enumerate(found) if len(a)]
             part = batch.select(["key", "i", "j"]).take(pa.array(at, pa.int64()))
             yield pa.record_batch([*part.columns, *[pa.array([found[i][k].tolist() for i in at], pa.list_(pa.int64())) for k in (0, 1)]], ["key", "i", "j", "a", "b"])

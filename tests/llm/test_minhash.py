@@ -10,7 +10,7 @@ import pytest
 from odd import SCHEMA, words
 
 from fathomwire.llm.common import counted_shingles, text_slices
-from fathomwire.llm.minhash import keep_first, linked_inside, near_duplicates, near_sketches, signatures
+from fathomwire.llm.minhash import keep_first, linked_inside, near_duplicates, near_sketches, signatures, sketch_share
 
 
 def shingles(text):
@@ -122,3 +122,20 @@ def test_block_comparison():
     bucket = pa.array([{"node": i, "root": r, "side": 2, "sketch": sketch} for i, r in ((1, 1), (2, 1), (3, 3))])
     assert [x.tolist() for x in near_sketches(bucket, 0, 24, 0.68)] == [[1, 2], [3, 3]]
     assert len(near_sketches(bucket, 5, 24, 0.68)[0]) == 0  # seen in band 0
+
+
+def test_first_common_band_is_that_of_whole_keys():
+    sketch = bytes(range(120))
+    # band 0 agrees in all its 8-bit sketches but not in its key; bands 3 and 7 are common
+    keys = [[100 * i + k for k in range(24)] for i in (1, 2)]
+    keys[1][3], keys[1][7] = keys[0][3], keys[0][7]
+    bucket = pa.array([{"node": i, "root": i, "side": 2, "sketch": sketch, "keys": keys[i - 1]} for i in (1, 2)])
+    found = {band: len(near_sketches(bucket, band, 24, 0.6)[0]) for band in (0, 3, 7)}
+    assert found == {0: 0, 3: 1, 7: 0}
+
+
+def test_sketch_share_keeps_pairs_at_the_least_similarity():
+    rng = np.random.default_rng(0)
+    agreed = rng.binomial(120, 0.8, 1_000_000) / 120
+    assert (agreed < sketch_share(120, 0.8)).sum() == 0 and (agreed < 0.68).sum() > 100
+    assert sketch_share(120, 1.0) > 0.99 and sketch_share(120, 0.0) == 0.0
