@@ -14,7 +14,7 @@ from fathomwire.operators.decode import decoded
 from fathomwire.operators.encode import to_wire, wire_size, wire_type_id
 from fathomwire.operators.evolution import conformance, read_as
 from fathomwire.operators.frames import explode_frames, gather_frames
-from fathomwire.plans.types import STRICT, member, union
+from fathomwire.plans.types import STRICT, UNLIMITED, member, union
 from fathomwire.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,7 +111,12 @@ def encoded(df: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
     rows = df.select(*needed)
     if not df.isStreaming:
         rows = spread(rows)
-    return rows.select(*keep, to_wire(of(schema), schema).alias("payload"))
+    return rows.select(*keep, to_wire(of(schema), schema, UNLIMITED).alias("payload"))
+
+
+def reread(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with ``payload``, which these queries have encoded themselves, decoded: no limit drops a row, and a fault ends the query."""
+    return decoded(df, "payload", schema, UNLIMITED, "FAILFAST")
 
 
 @query(f"SELECT o_orderkey, CAST({sql_zigzag('(o_orderkey - 5000)')} AS BIGINT) AS zigzag FROM orders")
@@ -165,7 +170,7 @@ _SHORT_SIZE = f"1 + {sql_int('l_orderkey')} + {sql_int('l_linenumber')} + {sql_d
 def lineitem_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode, aggregate."""
     rows = encoded(table(spark, sf_dir, "lineitem"), LINE_SHORT).withColumn("bytes", F.octet_length("payload"))
-    back = decoded(rows, "payload", LINE_SHORT).filter("error IS NULL").select("record.*", "bytes")
+    back = reread(rows, LINE_SHORT).select("record.*", "bytes")
     exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     return back.groupBy("l_returnflag").agg(F.count("*").alias("n"), exact("l_quantity").alias("quantity"), exact("l_extendedprice").alias("price"), F.sum("bytes").cast("long").alias("bytes"))
 
@@ -186,7 +191,7 @@ def orders_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values behind pointers: a pointer to zero reads as null."""
     schema = T.StructType([member("o_orderkey", "int64", 1), member("custkey", "int64", 2, pointer=True), member("priority", "string", 3, pointer=True)])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("custkey"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("priority"))
-    return decoded(encoded(rows, schema), "payload", schema).select("record.*")
+    return reread(encoded(rows, schema), schema).select("record.*")
 
 
 @query(
@@ -197,7 +202,7 @@ def embeddings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed arrays of floats."""
     schema = T.StructType([member("vec_id", "int64", 1), member("embedding", "array<float>", 2)])
     rows = encoded(table(spark, sf_dir, "embeddings"), schema).withColumn("bytes", F.octet_length("payload"))
-    back = decoded(rows, "payload", schema).select("record.*", "bytes")
+    back = reread(rows, schema).select("record.*", "bytes")
     item = lambda i: F.element_at("embedding", i).cast("double")
     return back.select("vec_id", F.size("embedding").cast("long").alias("width"), "bytes", item(1).alias("first"), item(-1).alias("last"))
 
@@ -207,7 +212,7 @@ def part_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reader that knows two of the writer's four fields."""
     writer = T.StructType([member("p_partkey", "int64", 1), member("p_name", "string", 2), member("p_size", "int32", 3), member("p_retailprice", "float64", 4)])
     reader = T.StructType([writer["p_partkey"], writer["p_size"]])
-    return decoded(encoded(table(spark, sf_dir, "part"), writer), "payload", reader).select("record.*")
+    return reread(encoded(table(spark, sf_dir, "part"), writer), reader).select("record.*")
 
 
 @query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS nation, CAST(NULL AS VARCHAR) AS note FROM customer")
@@ -215,7 +220,7 @@ def customer_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written with a 32-bit field, read with a wider, renamed one and one that the writer lacks."""
     writer = T.StructType([member("c_custkey", "int64", 1), member("c_nationkey", "int32", 2)])
     reader = T.StructType([member("c_custkey", "int64", 1), member("nation", "int64", 2), member("note", "string", 3)])
-    back = decoded(encoded(table(spark, sf_dir, "customer"), writer), "payload", writer)
+    back = reread(encoded(table(spark, sf_dir, "customer"), writer), writer)
     return back.select(read_as(F.col("record"), writer, reader).alias("r")).select("r.*")
 
 
@@ -224,7 +229,7 @@ def _union(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, T.StructType]:
     wrapped = T.StructType([T.StructField("item", item, True, {"field_number": 1})])
     docs = table(spark, sf_dir, "documents").select(F.struct(of(DOCUMENT).alias("document"), F.lit(None).cast(PAGE).alias("page")).alias("item"))
     pages = table(spark, sf_dir, "pages").select(F.struct(F.lit(None).cast(DOCUMENT).alias("document"), of(PAGE).alias("page")).alias("item"))
-    return docs.unionByName(pages).select(to_wire(F.struct("item"), wrapped).alias("payload")), wrapped
+    return docs.unionByName(pages).select(to_wire(F.struct("item"), wrapped, UNLIMITED).alias("payload")), wrapped
 
 
 @query("SELECT 'document' AS kind, doc_id AS id, CAST(length(text) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'page', page_id, CAST(length(url) AS BIGINT) FROM pages")
@@ -232,7 +237,7 @@ def union_docs_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two record types in one column, told apart by type id."""
     rows, schema = _union(spark, sf_dir)
     r = F.col("record.item")
-    back = decoded(rows, "payload", schema).filter("error IS NULL")
+    back = reread(rows, schema)
     chars = F.coalesce(F.char_length(r["document"]["text"]), F.char_length(r["page"]["url"])).cast("long")
     return back.select(F.when(r["document"].isNotNull(), "document").otherwise("page").alias("kind"), F.coalesce(r["document"]["doc_id"], r["page"]["page_id"]).alias("id"), chars.alias("chars"))
 
@@ -254,7 +259,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed runs of records by user, taken apart, decoded and counted."""
     runs = gather_frames(encoded(_events(spark, sf_dir), EVENT, "user_id", "event_id"), ["user_id"], "payload", ["event_id"])
-    back = decoded(explode_frames(runs.select("frames"), "frames").filter("error IS NULL").select("payload"), "payload", EVENT)
+    frames = explode_frames(runs.select("frames"), "frames", limit=0)
+    sound = F.when(F.col("error").isNull(), F.col("payload")).otherwise(F.raise_error(F.col("error")))
+    back = reread(frames.select(sound.alias("payload")), EVENT)
     return back.groupBy(F.col("record.event_type").alias("event_type")).agg(F.count("*").alias("n"), F.sum("record.user_id").cast("long").alias("users"))
 
 
@@ -263,7 +270,7 @@ def events_props_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects as maps in canonical bytes."""
     schema = T.StructType([member("props", "map<string,bigint>", 1)])
     rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("props"))
-    return rows.select("event_id", F.hex(to_wire(of(schema), schema)).alias("hex"))
+    return rows.select("event_id", F.hex(to_wire(of(schema), schema, UNLIMITED)).alias("hex"))
 
 
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, min(turn) AS first_turn FROM conversations GROUP BY 1")
@@ -272,7 +279,7 @@ def conversations_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = T.StructType([member("turn", "int64", 1), member("role", "string", 2), member("text", "string", 3)])
     schema = T.StructType([member("conv_id", "int64", 1), T.StructField("turns", T.ArrayType(turn), True, {"field_number": 2})])
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    back = decoded(encoded(rows, schema), "payload", schema).filter("error IS NULL").select("record.*")
+    back = reread(encoded(rows, schema), schema).select("record.*")
     each = back.select("conv_id", F.explode("turns").alias("t"))
     return each.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.char_length("t.text")).cast("long").alias("chars"), F.min("t.turn").alias("first_turn"))
 
@@ -282,7 +289,7 @@ def dedupe_by_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical bytes as a grouping key."""
     schema = T.StructType([member("o_orderstatus", "string", 1), member("o_orderpriority", "string", 2)])
     groups = encoded(table(spark, sf_dir, "orders"), schema).groupBy("payload").agg(F.count("*").alias("n"))
-    return decoded(groups, "payload", schema).select("record.*", "n")
+    return reread(groups, schema).select("record.*", "n")
 
 
 _WORDS = r"regexp_replace(lower(regexp_replace(p_type || ' ' || p_brand, '[^A-Za-z0-9]+', ' ', 'g')), '^ | $', '', 'g')"
@@ -306,7 +313,7 @@ def events_enum_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = T.StructType([member("seconds", "int64", 1), member("nanos", "int32", 2)])
     schema = T.StructType([member("event_id", "int64", 1), member("action", "int32", 2, "enum"), T.StructField("at", clock, True, {"field_number": 3})])
     rows = table(spark, sf_dir, "events").select("event_id", values.enum_number(F.col("event_type"), ACTIONS).alias("action"), values.timestamp_parts(F.col("ts").cast("timestamp")).alias("at"))
-    back = decoded(encoded(rows.filter("action IS NOT NULL"), schema), "payload", schema).filter("error IS NULL").select("record.*")
+    back = reread(encoded(rows.filter("action IS NOT NULL"), schema), schema).select("record.*")
     return back.select("event_id", values.enum_name(F.col("action"), ACTIONS).alias("name"), "at.seconds", "at.nanos")
 
 
@@ -317,7 +324,7 @@ def embeddings_raw_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([member("values", "array<float>", 1)])
     # with a tag, a count and an end the run is a record
     counted = raw.select("vec_id", F.octet_length("payload").alias("bytes"), F.concat(wire.raw(wire.compact_tag(1, 2)), wire.uvarint(F.octet_length("payload") / 4), F.col("payload"), wire.raw(b"\0")).alias("payload"))
-    back = decoded(counted, "payload", schema).filter("error IS NULL")
+    back = reread(counted, schema)
     return back.select("vec_id", "bytes", F.array_max("record.values").cast("double").alias("most"), F.array_min("record.values").cast("double").alias("least"))
 
 
@@ -339,5 +346,5 @@ def events_stream_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(root)
     rows = stream.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "user_id", "event_type", "value")
-    counts = windowed_counts(encoded(rows, EVENT), "payload", EVENT, "micros", "event_type", "1 hour", "1 day")
+    counts = windowed_counts(encoded(rows, EVENT), "payload", EVENT, "micros", "event_type", "1 hour", "1 day", UNLIMITED, "FAILFAST")
     return drained(counts, f"{shared_folder(spark)}/fathomwire-streams")

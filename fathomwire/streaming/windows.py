@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomwire.operators.decode import decoded
+from fathomwire.plans.types import DEFAULT, Options
 
 
-def windowed_counts(stream: DataFrame, payload: str, schema: T.StructType, micros: str, key: str, width: str, delay: str) -> DataFrame:
+def windowed_counts(stream: DataFrame, payload: str, schema: T.StructType, micros: str, key: str, width: str, delay: str, options: Options = DEFAULT, mode: str = "DROPMALFORMED") -> DataFrame:
     """(window_start, key, n): records by tumbling window of their event time, which is a field of microseconds."""
-    rows = decoded(stream.select(payload), payload, schema).filter("error IS NULL").select("record.*")
+    rows = decoded(stream.select(payload), payload, schema, options, mode).select("record.*")
     rows = rows.withColumn("event_time", F.timestamp_micros(F.col(micros))).withWatermark("event_time", delay)
     return rows.groupBy(F.window("event_time", width).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
