@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +61,29 @@ def explode_frames(df: DataFrame, column: str, limit: int = 64 << 20, strict: bo
     return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`")).mapInArrow(run, out)
 
 
+def chunked(df: DataFrame, order: list[str], size: Column, most_rows: int = 4096, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` with a long column ``chunk`` that ascends along ``order`` (a key's columns first, then what tells its rows apart).
+
+    The rows are dealt by range of ``order``, so that a key of many rows is spread over tasks.  A chunk holds ``most_rows`` rows at most, and
+    ``most_bytes`` of ``size`` and one row more; a group by (key, chunk) has that bound, however many rows the key has.
+    """
+    out = T.StructType([*df.schema.fields, T.StructField("chunk", T.LongType())])
+    least = -(-most_bytes // most_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            weight = np.maximum(batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False), least)
+            until = done + np.cumsum(weight)
+            if len(until):
+                done = int(until[-1])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(first + (until - 1) // most_bytes)], out.fieldNames())
+
+    rows = df.withColumn("_fathomwire_size", size.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(run, out)
+
+
 def gather_frames(df: DataFrame, keys: list[str], payload: str, order: list[str]) -> DataFrame:
-    """One framed run a key: (keys, frames), its frames in order."""
+    """One framed run a key: (keys, frames), its frames in order.  A run is one binary: for keys of many rows, ``chunk`` (see ``chunked``) is one of the keys."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.hex(wire.framed(F.col(payload))).alias("_frame"))))
     return df.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(rows, lambda r: r["_frame"]), "")).alias("frames"))

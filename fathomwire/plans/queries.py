@@ -13,7 +13,7 @@ from fathomwire.functions import values, wire
 from fathomwire.operators.decode import decoded
 from fathomwire.operators.encode import to_wire, wire_size, wire_type_id
 from fathomwire.operators.evolution import conformance, read_as
-from fathomwire.operators.frames import explode_frames, gather_frames
+from fathomwire.operators.frames import chunked, explode_frames, gather_frames
 from fathomwire.plans.types import STRICT, UNLIMITED, member, union
 from fathomwire.session import spread
 
@@ -257,8 +257,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def events_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Framed runs of records by user, taken apart, decoded and counted."""
-    runs = gather_frames(encoded(_events(spark, sf_dir), EVENT, "user_id", "event_id"), ["user_id"], "payload", ["event_id"])
+    """Framed runs of records by user in chunks, taken apart, decoded and counted."""
+    rows = chunked(_events(spark, sf_dir), ["user_id", "event_id", "micros", "event_type", "value"], F.octet_length("event_type"))
+    records = rows.select("user_id", "chunk", "event_id", to_wire(of(EVENT), EVENT, UNLIMITED).alias("payload"))
+    runs = gather_frames(records, ["user_id", "chunk"], "payload", ["event_id"])
     frames = explode_frames(runs.select("frames"), "frames", limit=0)
     sound = F.when(F.col("error").isNull(), F.col("payload")).otherwise(F.raise_error(F.col("error")))
     back = reread(frames.select(sound.alias("payload")), EVENT)
@@ -275,11 +277,12 @@ def events_props_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, min(turn) AS first_turn FROM conversations GROUP BY 1")
 def conversations_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record with a list of records for each conversation."""
+    """Records with a list of records, one for each chunk of a conversation."""
     turn = T.StructType([member("turn", "int64", 1), member("role", "string", 2), member("text", "string", 3)])
     schema = T.StructType([member("conv_id", "int64", 1), T.StructField("turns", T.ArrayType(turn), True, {"field_number": 2})])
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    back = reread(encoded(rows, schema), schema).select("record.*")
+    turns = chunked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], F.octet_length("text"))
+    rows = turns.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    back = reread(rows.select(to_wire(of(schema), schema, UNLIMITED).alias("payload")), schema).select("record.*")
     each = back.select("conv_id", F.explode("turns").alias("t"))
     return each.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.char_length("t.text")).cast("long").alias("chars"), F.min("t.turn").alias("first_turn"))
 

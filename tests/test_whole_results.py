@@ -5,7 +5,9 @@ from __future__ import annotations
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from fathomwire.operators.frames import chunked, explode_frames, gather_frames
 from fathomwire.plans.queries import oracle_sql, queries
 
 
@@ -31,3 +33,28 @@ def test_union_of_large_documents(spark, tmp_path):
 def test_conversation_of_large_turns(spark, tmp_path):
     turns = pa.table({"conv_id": [1, 1, 2], "turn": [0, 1, 0], "role": ["user", "assistant", "user"], "text": ["a", LARGE, "b"]})
     same_as_sql(spark, tmp_path, "conversations_nested", {"conversations": turns})
+
+
+def test_chunks_of_one_large_key(spark):
+    rows = spark.range(20_000).select((F.col("id") % 50 == 0).cast("int").alias("k"), F.col("id").alias("i"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"))
+    runs = gather_frames(chunked(rows, ["k", "i"], F.octet_length("payload"), most_rows=100), ["k", "chunk"], "payload", ["i"])
+    back = explode_frames(runs, "frames").collect()
+    own = {}
+    for r in back:
+        own.setdefault((r.k, r.chunk), []).append((r.ordinal, int(bytes(r.payload))))
+    assert max(map(len, own.values())) <= 100
+    for k in (0, 1):  # chunks in their order hold the key's rows in order
+        assert [i for key in sorted(x for x in own if x[0] == k) for _, i in sorted(own[key])] == [i for i in range(20_000) if (i % 50 == 0) == k]
+    wide = chunked(rows.filter("i < 1000"), ["k", "i"], F.lit(1000), most_bytes=10_000).groupBy("chunk").count().collect()
+    assert max(r["count"] for r in wide) <= 11
+
+
+def test_events_and_turns_of_one_large_key(spark, tmp_path, monkeypatch):
+    n, sizes = 30_000, []
+    clock = pa.array(range(n), pa.timestamp("us"))
+    events = pa.table({"event_id": range(n), "ts": clock, "user_id": [i % 3 and 7 for i in range(n)], "event_type": ["view"] * n, "value": [1.5] * n})
+    monkeypatch.setattr("fathomwire.plans.queries.gather_frames", lambda df, keys, *rest: (sizes.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0]), gather_frames(df, keys, *rest))[1])
+    same_as_sql(spark, tmp_path, "events_frames", {"events": events})
+    assert max(sizes) <= 4096
+    turns = pa.table({"conv_id": [i % 3 and 7 for i in range(n)], "turn": range(n), "role": ["user"] * n, "text": ["ab"] * n})
+    same_as_sql(spark, tmp_path, "conversations_nested", {"conversations": turns})
