@@ -1,14 +1,15 @@
 """Operator 9: secret scans, in DataFrame functions only.
 
 Base spans come from three patterns.  The randomness battery adds spans: a candidate is a run of 16 or
-more characters of an encoding (hex, base32, base36, base64) with a digit and a letter.  Three tests hold it against uniform noise over
+more characters of an encoding (hex, base32, base36, base64) with a letter, other than a word
+(small letters alone, the first of which may be a capital).  Three tests hold it against uniform noise over
 its inferred alphabet: chi-squared of the letters' counts, runs above and below the alphabet's middle, and lag-1 serial
 correlation.  Fisher's method joins their p-values.  Noise has p-values spread evenly, words and identifiers have them near 0;
-so in each stratum (encoding, doubling of length) the counts above one half tell how many candidates are noise, and
+so in each stratum (encoding, doubling of length, whether there is a digit) the counts above one half tell how many candidates are noise, and
 the threshold is the lowest p-value at which the estimated share of others among what is reported stays
 below ``false_share``, and never below ``floor``.
 
-Scale: two scans of the text, no shuffle of texts.  The first scan makes a histogram of at most 4 encodings x 31 lengths x 100 bins;
+Scale: two scans of the text, no shuffle of texts.  The first scan makes a histogram of at most 4 encodings x 31 lengths x 2 x 100 bins;
 the second has all spans of a document in its own row.
 
 Edge cases: a null or empty text has no spans, and the digest of the empty string; offsets count code points; repeated rows
@@ -34,7 +35,7 @@ BASE = {
 KINDS = [*BASE, "random"]
 OWN = "_fathomwire_"
 SPANS = f"{OWN}spans"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])(?![A-Z]?+[a-z]*+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{16,}={0,2}"
 
 # Alphabets in their own order, by encoding; the first that has all of a candidate's characters is meant.
 ALPHABETS = {
@@ -117,12 +118,17 @@ def randomness(token: Column) -> Column:
     return let(encoding_of(token), lambda e: F.struct(F.concat_ws(":", e, F.floor(F.log2(F.length(token).cast("double"))).cast("string")).alias("stratum"), tests(e).alias("p")))
 
 
+def stratum_of(token: Column, result: Column) -> Column:
+    """The stratum of ``randomness``, apart for candidates without a digit."""
+    return F.concat_ws(":", result["stratum"], F.when(~token.rlike("[0-9]"), F.lit("no digit")))
+
+
 def thresholds(docs: DataFrame, false_share: float, floor: float) -> dict[str, float]:
     """The least p-value that is reported, by stratum; from the histogram of all candidates of all documents."""
     text = empty_text()
     tokens = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    tested = tokens.select(randomness(F.col("token")).alias("r"))
-    hist = tested.groupBy("r.stratum", F.least(F.lit(99), F.floor(F.col("r.p") * 100)).cast("int").alias("bin")).count().collect()  # strata x 100 at most
+    tested = tokens.select("token", randomness(F.col("token")).alias("r"))
+    hist = tested.groupBy(stratum_of(F.col("token"), F.col("r")).alias("stratum"), F.least(F.lit(99), F.floor(F.col("r.p") * 100)).cast("int").alias("bin")).count().collect()  # strata x 100 at most
     out: dict[str, float] = {}
     for stratum in {h.stratum for h in hist}:
         count = [0] * 100
@@ -166,7 +172,7 @@ def with_spans(docs: DataFrame, false_share: float = 0.05, floor: float = 0.001)
 
     base = F.concat(spans(F.filter(f"{OWN}assign", lambda m: F.length(m["part"]) >= 8), "assign"), spans(F.col(f"{OWN}access"), "access"), spans(F.col(f"{OWN}hex"), "hex"))
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None).cast("map<string,double>")
-    noisy = F.filter(f"{OWN}random", lambda m: let(randomness(m["part"]), lambda r: r["p"] >= F.coalesce(F.element_at(limit, r["stratum"]), F.lit(2.0))))
+    noisy = F.filter(f"{OWN}random", lambda m: let(randomness(m["part"]), lambda r: r["p"] >= F.coalesce(F.element_at(limit, stratum_of(m["part"], r)), F.lit(2.0))))
     own = raw.withColumn(f"{OWN}base", base).withColumn(f"{OWN}noisy", spans(noisy, "random"))
     new = F.filter(f"{OWN}noisy", lambda m: ~F.exists(f"{OWN}base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
     return own.withColumn(SPANS, F.array_sort(F.concat(f"{OWN}base", new))).drop(f"{OWN}base", f"{OWN}noisy", *[f"{OWN}{k}" for k in KINDS])

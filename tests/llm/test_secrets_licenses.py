@@ -127,3 +127,14 @@ def test_license_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     got = sorted(map(tuple, license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()), key=str)
     assert got == sorted(duckdb.sql(license_sql()).fetchall(), key=str) and any(r[2] for r in got)
+
+
+def test_keys_without_digits(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters + "+/") for _ in range(24)) for _ in range(150)] + ["".join(rng.choice(letters[:26]) for _ in range(16)) for _ in range(150)]
+    others = ["Internationalization", "internationalization", "1234567890123456789", "-" * 20, "AAAAAAAAAAAAAAAAAAAA", "getGetGetGetGetGetGetGet"]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + others)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_spans(docs).filter("n_random > 0").collect()}
+    assert len([i for i in found if i < 150]) > 120 and len([i for i in found if 150 <= i < 300]) > 120
+    assert not [i for i in found if i >= 300]
