@@ -16,11 +16,11 @@ def main(args: list[str]) -> int:
     if command == "changes":
         from pyspark.sql import SparkSession
 
-        from fathomwire.operators.evolution import fields_table, schema_changes
+        from fathomwire.operators.evolution import schema_changes, schema_table
 
         spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
-        old, new = (fields_table(spark, L.struct_types(s, found)) for s, found in loaded[:2])
-        rows = schema_changes(old, new).orderBy("record", "number").collect()
+        old, new = (schema_table(spark, s, found) for s, found in loaded[:2])
+        rows = schema_changes(old, new).orderBy("kind", "record", "number").collect()
         for r in rows:
             print(r.record, r.number, r.change, "breaking" if r.breaking else "compatible", r.detail, sep="\t")
         return int(any(r.breaking for r in rows))

@@ -68,18 +68,38 @@ def packed_floats(values: Column, size: int = 4) -> Column:
     return wire.joined(F.transform(values, lambda v: wire.fixed_le(bits(v), size)))
 
 
-def unpacked_floats(data: Column, size: int = 4) -> Column:
-    """The floats of such a run; bytes beyond the last whole one are left out."""
-    kind = "<f4" if size == 4 else "<f8"
+def packed_fixed(values: Column, size: int = 4) -> Column:
+    """A run of little-endian whole numbers without a count; of longer numbers the low bytes."""
+    return wire.joined(F.transform(values, lambda v: wire.fixed_le(v.cast("long"), size)))
+
+
+def _unpacked(data: Column, kind: str, item: str, arrow: pa.DataType) -> Column:
+    size = np.dtype(kind).itemsize
 
     def run(column):
-        out = []
-        for x in column:
-            raw = x.as_py()
-            out.append(None if raw is None else np.frombuffer(raw[: len(raw) // size * size], kind))
-        return pa.array(out, pa.list_(pa.float32() if size == 4 else pa.float64()))
+        whole = column.cast(pa.large_binary())
+        _, offsets, buffer = whole.buffers()
+        off = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        n = np.diff(off) // size
+        raw = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        until = np.concatenate(([0], np.cumsum(n)))
+        if len(n) and (np.diff(off) == n * size).all():
+            flat = raw[off[0] : off[-1]]
+        else:  # odd bytes behind the last whole number
+            flat = raw[np.repeat(off[:-1] - until[:-1] * size, n * size) + np.arange(until[-1] * size)]
+        return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(np.ascontiguousarray(flat).view(kind)).cast(arrow), mask=pa.array(~np.asarray(column.is_valid())))
+
+    return F.arrow_udf(run, f"array<{item}>")(data)
+
+
+def unpacked_floats(data: Column, size: int = 4) -> Column:
+    """The floats of such a run; bytes beyond the last whole one are left out.  ``data`` must be a stored column."""
+    return _unpacked(data, "<f4", "float", pa.float32()) if size == 4 else _unpacked(data, "<f8", "double", pa.float64())
+
 
-    return F.arrow_udf(run, f"array<{'float' if size == 4 else 'double'}>")(data)
+def unpacked_fixed(data: Column, size: int = 4) -> Column:
+    """The unsigned numbers of a run of ``packed_fixed``; those of eight bytes as decimal(20,0)."""
+    return _unpacked(data, "<u4", "long", pa.int64()) if size == 4 else F.transform(_unpacked(data, "<i8", "long", pa.int64()), wire.from_bits)
 
 
 def fault_class(error: Column) -> Column:

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomwire.plans.schema_language import Schema, struct_types
 from fathomwire.plans.types import Member, Shape, members
 
-FIELDS = "record string, number int, name string, type string, required boolean, integer int, signed boolean"
+FIELDS = "kind string, record string, number int, name string, type string, required boolean, integer int, signed boolean"
+
+
+# The changes after which records of the old version can't be read, or read as something else.
+BREAKING = ("record_removed", "required_field_added", "required_field_removed", "type_changed", "enum_removed", "enum_value_removed", "enum_value_reused", "interface_type_removed", "interface_id_changed")
 
 
 def type_name(shape: Shape) -> str:
@@ -30,7 +35,7 @@ def field_rows(name: str, struct: T.StructType) -> list[tuple]:
     def row(m: Member) -> tuple:
         kind = m.shape.kind if not m.shape.pointer else ""
         whole = kind.removeprefix("u").startswith("int")
-        return name, m.number, m.name, type_name(m.shape), m.required, int(kind.removeprefix("u")[3:]) if whole else None, not kind.startswith("u") if whole else None
+        return "message", name, m.number, m.name, type_name(m.shape), m.required, int(kind.removeprefix("u")[3:]) if whole else None, not kind.startswith("u") if whole else None
 
     return [row(m) for m in members(struct)]
 
@@ -39,32 +44,47 @@ def fields_table(spark: SparkSession, records: dict[str, T.StructType]) -> DataF
     return spark.createDataFrame([r for name, struct in records.items() for r in field_rows(name, struct)], FIELDS)
 
 
+def schema_table(spark: SparkSession, schema: Schema, imported: dict[str, Schema] | None = None) -> DataFrame:
+    """FIELDS of all that a schema file declares: fields of messages, values of enums, members of interfaces."""
+    rows = [r for name, struct in struct_types(schema, imported).items() for r in field_rows(name, struct)]
+    rows += [(e.kind, e.name, f.number, f.name, None, False, None, None) for e in schema.entries if e.kind != "message" for f in e.items]
+    return spark.createDataFrame(rows, FIELDS)
+
+
 def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(record, number, change, breaking, detail) between two field tables: a full outer join by record and number.
+    """(kind, record, number, change, breaking, detail) between two field tables: a full outer join by record and number.
 
-    A changed type breaks unless an integer of the same sign gets wider; a new required field and a removed
-    required one break; other added or removed fields and new names don't.
+    Messages: a changed type breaks unless an integer of the same sign gets wider; a new required field and a removed
+    required one break; other added or removed fields and new names don't.  Enums: a removed value, and a number that another value
+    takes, break.  Interfaces are joined by name: a removed type and a changed type id break.  A removed message or enum breaks.
     """
-    o, n = (df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns]) for df, p in ((old, "old"), (new, "new")))
-    both = o.join(n, (F.col("old_record") == F.col("new_record")) & (F.col("old_number") == F.col("new_number")), "full_outer")
-    kept_records = old.select(F.col("record").alias("in_old")).distinct(), new.select(F.col("record").alias("in_new")).distinct()
-    both = both.join(kept_records[0], F.col("new_record") == F.col("in_old"), "left").join(kept_records[1], F.col("old_record") == F.col("in_new"), "left")
+    key = F.when(F.col("kind") == "interface", F.col("name")).otherwise(F.col("number").cast("string"))
+    o, n = (df.withColumn("key", key).select([F.col(c).alias(f"{p}_{c}") for c in ("key", *df.columns)]) for df, p in ((old, "old"), (new, "new")))
+    same = (F.col("old_kind") == F.col("new_kind")) & (F.col("old_record") == F.col("new_record")) & (F.col("old_key") == F.col("new_key"))
+    both = o.join(n, same, "full_outer")
+    in_old, in_new = (df.select(F.col("kind").alias(f"{p}_k"), F.col("record").alias(f"in_{p}")).distinct() for df, p in ((old, "old"), (new, "new")))
+    both = both.join(in_old, (F.col("new_kind") == F.col("old_k")) & (F.col("new_record") == F.col("in_old")), "left")
+    both = both.join(in_new, (F.col("old_kind") == F.col("new_k")) & (F.col("old_record") == F.col("in_new")), "left")
     wider = (F.col("old_signed") == F.col("new_signed")) & (F.col("new_integer") >= F.col("old_integer"))
+    kind = F.coalesce("old_kind", "new_kind")
+    whole, part = (F.when(kind == "message", message).otherwise(F.concat(kind, F.lit("_"))) for message in ("record_", "field_"))
+    part = F.when(kind == "enum", "enum_value_").when(kind == "interface", "interface_type_").otherwise(part)
     change = (
-        F.when(F.col("old_number").isNull() & F.col("in_old").isNull(), "record_added")
-        .when(F.col("new_number").isNull() & F.col("in_new").isNull(), "record_removed")
-        .when(F.col("old_number").isNull() & F.col("new_required"), "required_field_added")
-        .when(F.col("old_number").isNull(), "field_added")
-        .when(F.col("new_number").isNull() & F.col("old_required"), "required_field_removed")
-        .when(F.col("new_number").isNull(), "field_removed")
+        F.when(F.col("old_number").isNull() & F.col("in_old").isNull(), F.concat(whole, F.lit("added")))
+        .when(F.col("new_number").isNull() & F.col("in_new").isNull(), F.concat(whole, F.lit("removed")))
+        .when(F.col("old_number").isNull(), F.concat(F.when(F.col("new_required"), "required_").otherwise(""), part, F.lit("added")))
+        .when(F.col("new_number").isNull(), F.concat(F.when(F.col("old_required"), "required_").otherwise(""), part, F.lit("removed")))
+        .when((kind == "enum") & (F.col("old_name") != F.col("new_name")), "enum_value_reused")
+        .when((kind == "interface") & (F.col("old_number") != F.col("new_number")), "interface_id_changed")
         .when((F.col("old_type") != F.col("new_type")) & F.coalesce(wider, F.lit(False)), "type_widened")
         .when(F.col("old_type") != F.col("new_type"), "type_changed")
         .when(F.col("old_required") != F.col("new_required"), "required_changed")
         .when(F.col("old_name") != F.col("new_name"), "renamed")
     )
-    breaking = change.isin("record_removed", "required_field_added", "required_field_removed", "type_changed")
-    detail = F.concat_ws(" -> ", F.concat_ws(" ", "old_type", "old_name"), F.concat_ws(" ", "new_type", "new_name"))
-    out = both.select(F.coalesce("old_record", "new_record").alias("record"), F.coalesce("old_number", "new_number").alias("number"), change.alias("change"), breaking.alias("breaking"), detail.alias("detail"))
+    breaking = change.isin(*BREAKING)
+    side = lambda p: F.concat_ws(" ", f"{p}_type", F.when(kind == "interface", F.col(f"{p}_number")), f"{p}_name")
+    detail = F.concat_ws(" -> ", side("old"), side("new"))
+    out = both.select(kind.alias("kind"), F.coalesce("old_record", "new_record").alias("record"), F.coalesce("old_number", "new_number").alias("number"), change.alias("change"), breaking.alias("breaking"), detail.alias("detail"))
     return out.filter(F.col("change").isNotNull())
 
 

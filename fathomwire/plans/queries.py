@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +11,11 @@ from pyspark.sql import types as T
 from fathomwire.functions import values, wire
 from fathomwire.operators.decode import decoded
 from fathomwire.operators.encode import to_wire, wire_size, wire_type_id
+from fathomwire.operators.encode_batches import with_wire
 from fathomwire.operators.evolution import conformance, read_as
 from fathomwire.operators.frames import chunked, explode_frames, gather_frames
 from fathomwire.plans.types import STRICT, UNLIMITED, member, union
-from fathomwire.session import spread
+from fathomwire.session import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,10 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from fathomwire.plans import codec_queries, schema_queries  # noqa: F401  (they put their own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -43,8 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
 
 
 # SQL text of the format's rules, for the oracles
@@ -58,13 +59,14 @@ def sql_size(u: str) -> str:
     return "(CASE " + " ".join(f"WHEN {u} < {1 << 7 * n} THEN {n}" for n in range(1, 10)) + " ELSE 10 END)"
 
 
-def sql_hex(u: str) -> str:
-    """Hex of a varint of up to five bytes."""
+def sql_hex(u: str, most: int = 5) -> str:
+    """Hex of a varint of up to ``most`` bytes."""
+    kind = "BIGINT" if most < 9 else "HUGEINT"
 
     def of(n: int) -> str:
-        return " || ".join(f"printf('%02X', CAST((CAST({u} AS BIGINT) >> {7 * i}) & 127 AS INTEGER) + {128 if i < n - 1 else 0})" for i in range(n))
+        return " || ".join(f"printf('%02X', CAST((CAST({u} AS {kind}) >> {7 * i}) & 127 AS INTEGER) + {128 if i < n - 1 else 0})" for i in range(n))
 
-    return "(CASE " + " ".join(f"WHEN {u} < {1 << 7 * n} THEN {of(n)}" for n in range(1, 5)) + f" ELSE {of(5)} END)"
+    return "(CASE " + " ".join(f"WHEN {u} < {1 << 7 * n} THEN {of(n)}" for n in range(1, most)) + f" ELSE {of(most)} END)"
 
 
 def sql_int(v: str, tag: int = 1) -> str:
@@ -111,7 +113,7 @@ def encoded(df: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
     rows = df.select(*needed)
     if not df.isStreaming:
         rows = spread(rows)
-    return rows.select(*keep, to_wire(of(schema), schema, UNLIMITED).alias("payload"))
+    return with_wire(rows, schema, "payload", keep, UNLIMITED)
 
 
 def reread(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -331,12 +333,19 @@ def embeddings_raw_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", "bytes", F.array_max("record.values").cast("double").alias("most"), F.array_min("record.values").cast("double").alias("least"))
 
 
-@query()
+@query(
+    """SELECT CASE l_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'unexpected_eof' WHEN 2 THEN 'trailing_bytes' WHEN 3 THEN 'unknown_field'
+    WHEN 4 THEN 'wire_type_mismatch' ELSE 'overflow' END AS error, count(*) AS rows FROM lineitem GROUP BY 1"""
+)
 def malformed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads cut short by 0 to 10 bytes, by the fault that strict decoding finds."""
+    """Payloads damaged in five ways, by the fault that strict decoding finds."""
     rows = encoded(table(spark, sf_dir, "lineitem"), LINE, "l_orderkey")
-    cut = rows.select(F.expr("substring(payload, 1, octet_length(payload) - CAST(l_orderkey % 11 AS INT))").alias("payload"))
-    return conformance(decoded(cut, "payload", LINE, STRICT))
+    p, way = F.col("payload"), F.col("l_orderkey") % 6
+    cut = F.expr("substring(payload, 1, octet_length(payload) - 1 - CAST(l_orderkey % 11 AS INT))")
+    ahead = lambda data: F.concat(wire.raw(data), p)
+    unknown, other_type, large = b"\xe0\x01", wire.compact_tag(1, 0) + b"\x02", wire.compact_tag(4, 4) + b"\xff\xff\xff\xff\xff\x01"
+    damaged = F.when(way == 0, p).when(way == 1, cut).when(way == 2, F.concat(p, wire.raw(b"\x00"))).when(way == 3, ahead(unknown)).when(way == 4, ahead(other_type)).otherwise(ahead(large))
+    return conformance(decoded(rows.select(damaged.alias("payload")), "payload", LINE, STRICT))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -350,4 +359,4 @@ def events_stream_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(root)
     rows = stream.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "user_id", "event_type", "value")
     counts = windowed_counts(encoded(rows, EVENT), "payload", EVENT, "micros", "event_type", "1 hour", "1 day", UNLIMITED, "FAILFAST")
-    return drained(counts, f"{shared_folder(spark)}/fathomwire-streams")
+    return drained(counts, f"{shared_folder(spark)}/fathomwire-streams", ["window_start", "event_type"])

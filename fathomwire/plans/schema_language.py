@@ -43,6 +43,7 @@ class Field:
     modifiers: tuple[str, ...] = ()
     doc: str = ""
     line: int = 0
+    options: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -55,6 +56,7 @@ class Entry:
     type_id: int | None = None
     doc: str = ""
     line: int = 0
+    options: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -131,6 +133,20 @@ class Reader:
         self.next(";")
         return name, got
 
+    def bracketed(self) -> dict:
+        """Options of a field, between brackets; one without a value is true."""
+        out = {}
+        self.next("[")
+        while True:
+            name = self.next("word", *MODIFIERS)
+            if self.peek("="):
+                self.next()
+                out[name] = self.value()
+            else:
+                out[name] = True
+            if self.next(",", "]") == "]":
+                return out
+
     def type(self) -> Type:
         if self.peek("*"):
             self.next()
@@ -151,7 +167,8 @@ class Reader:
             name += "." + self.next("word")
         return Type(SYNONYMS.get(name, name))
 
-    def body(self, kind: str) -> list:
+    def body(self, kind: str, options: dict) -> list:
+        """The entry's items; its own options go to ``options``."""
         out = []
         self.next("{")
         while not self.peek("}"):
@@ -159,11 +176,12 @@ class Reader:
             line = self.line()
             if self.peek("option"):
                 self.next()
-                self.option()
+                name, got = self.option()
+                options[name] = got
             elif kind == "interface":
                 number = int(self.next("number"))
                 self.next("=")
-                out.append(Field(str(self.type()), number, Type("message"), line=line))
+                out.append(Field(str(self.type()), number, Type("message"), doc=self.comment(), line=line))
                 self.next(";")
             elif kind == "enum":
                 name = self.next("word")
@@ -178,10 +196,8 @@ class Reader:
                 doc, name = self.comment(), self.next("word")
                 self.next("=")
                 number = int(self.next("number"))
-                if self.peek("["):
-                    while self.next() != "]":
-                        pass
-                out.append(Field(name, number, made, tuple(modifiers), doc, line))
+                own = self.bracketed() if self.peek("[") else {}
+                out.append(Field(name, number, made, tuple(modifiers), doc, line, own))
                 self.next(";")
         self.next("}")
         return out
@@ -210,7 +226,7 @@ class Reader:
                     if self.peek("@"):
                         self.next()
                         e.type_id = int(self.next("number"))
-                    e.items = self.body(word)
+                    e.items = self.body(word, e.options)
                     s.entries.append(e)
                 else:
                     raise SyntaxError(f"{line}:unexpected {word}")
@@ -353,13 +369,15 @@ def write(s: Schema) -> str:
     out = [f"package {s.package};\n"] if s.package else []
     out += [f'import "{p}"' + (f" as {a}" if a else "") + ";" for p, a in s.imports]
     literal = lambda v: '"' + str(v).replace("\\", "\\\\").replace('"', '\\"') + '"' if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else "[" + ", ".join(map(literal, v)) + "]" if isinstance(v, list) else str(v)
-    out += [f"option {k} = {literal(v)};" for k, v in s.options.items()]
+    stated = lambda options, indent="": [f"{indent}option {k} = {literal(v)};" for k, v in options.items()]
+    out += stated(s.options)
     for e in s.entries:
         head = [f"/// {line}" for line in e.doc.split("\n") if line]
-        rows = []
+        rows = stated(e.options, "    ")
         for f in e.items:
             rows += [f"    /// {line}" for line in f.doc.split("\n") if line]
-            rows.append(f"    {f.number} = {f.name};" if e.kind == "interface" else f"    {f.name} = {f.number};" if e.kind == "enum" else f"    {' '.join((*f.modifiers, str(f.type), f.name))} = {f.number};")
+            own = " [" + ", ".join(f"{k} = {literal(v)}" for k, v in f.options.items()) + "]" if f.options else ""
+            rows.append(f"    {f.number} = {f.name};" if e.kind == "interface" else f"    {f.name} = {f.number};" if e.kind == "enum" else f"    {' '.join((*f.modifiers, str(f.type), f.name))} = {f.number}{own};")
         out += ["", *head, f"{e.kind} {e.name}" + (f" @{e.type_id}" if e.type_id is not None else "") + " {", *rows, "}"]
     return "\n".join(out).strip() + "\n"
 

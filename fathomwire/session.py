@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +25,21 @@ def ship_package(spark: SparkSession) -> None:
     sc._fathomwire_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where none is set, a session on one machine takes a temporary one; a cluster without one is an error, as its executors
+    would each write to a disk of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files have fewer splits than there are cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,8 +1,12 @@
 """``wireframes``: files of length-framed records as a batch source and sink and a stream source.
 
-The sink writes one file and one index a task; the index has the offset of every ``every``-th frame, so a large file is read
-by many tasks.  Paths may be on any file system that pyarrow knows by its address; a bare path is local.  Files that Spark alone can reach
-are read through ``framed_files``.
+The sink writes one file and one index a task; the index has the offset of every ``every``-th frame, so a file above
+``rangebytes`` is read by many tasks.  Paths may be on any file system that pyarrow knows by its address; a bare path is local.  Files that
+Spark alone can reach are read through ``framed_files``.
+
+A stream's offset is the size of each file at a listing, so the reader keeps no state and a restart goes on where the last committed
+batch ended.  A frame belongs to the batch in which its last byte has come; tasks settle where frames end, the driver only
+lists files and reads the indexes of large ones.  A growing file without an index is walked from its start by one task a batch: roll such files over.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from fathomwire.functions.wire import uvarint_bytes
 from fathomwire.operators.frames import explode_frames
 
 SCHEMA = "file string, ordinal long, offset long, payload binary"
+RANGE_BYTES = 32 << 20
 
 
 def file_system(path: str):
@@ -37,12 +42,31 @@ def data_files(path: str) -> list[tuple[str, int]]:
 
 
 class Range(InputPartition):
-    def __init__(self, file: str, start: int, end: int, ordinal: int):
-        self.file, self.start, self.end, self.ordinal = file, start, end, ordinal
+    """Frames of a file from ``start`` (a place between frames, with its ``ordinal``) to ``end`` that end behind ``after``; ``waits``: the last may be cut short."""
+
+    def __init__(self, file: str, start: int, end: int, ordinal: int, after: int = 0, waits: bool = False):
+        self.file, self.start, self.end, self.ordinal, self.after, self.waits = file, start, end, ordinal, after, waits
+
+
+def ranges(system, file: str, size: int, most: int, after: int = 0, waits: bool = False) -> list[Range]:
+    """Ranges of about ``most`` bytes, cut where the file's index knows a frame's place; what ends at ``after`` or before is left out."""
+    from pyarrow import fs
+
+    marks = [(0, 0)]
+    if size - after > most and system.get_file_info(file + ".idx").type == fs.FileType.File:
+        with system.open_input_stream(file + ".idx") as f:
+            marks = [tuple(m) for m in json.loads(f.read())] or marks
+    cuts = [marks[0]]
+    for (ordinal, at), (_, end) in zip(marks[1:], [*marks[2:], (0, size)], strict=False):
+        if at <= after:
+            cuts = [(ordinal, at)]
+        elif end - cuts[-1][1] > most:
+            cuts.append((ordinal, at))
+    return [Range(file, at, end, ordinal, after, waits) for (ordinal, at), (_, end) in zip(cuts, [*cuts[1:], (0, size)], strict=True)]
 
 
 def frames_in(system, part: Range, limit: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """The frames of a range that begins and ends between frames."""
+    """The frames of a range."""
     with system.open_input_file(part.file) as f:
         f.seek(part.start)
         at, ordinal, buffer, base = part.start, part.ordinal, b"", part.start
@@ -62,6 +86,14 @@ def frames_in(system, part: Range, limit: int) -> Iterator[tuple[str, int, int,
                     raise ValueError(f"{part.file}: no length at byte {at}")
             if limit and size > limit:
                 raise ValueError(f"{part.file}: a frame of {size} bytes at byte {at}")
+            if part.waits and at + used + size > part.end:
+                return  # of a later batch
+            if at + used + size <= part.after:  # of an earlier batch
+                at, ordinal = at + used + size, ordinal + 1
+                if at - base > len(buffer):
+                    f.seek(at)
+                    buffer, base = b"", at
+                continue
             while len(buffer) - (at - base) < used + size:
                 more = f.read(max(1 << 20, size))
                 if not more:
@@ -77,19 +109,11 @@ def frames_in(system, part: Range, limit: int) -> Iterator[tuple[str, int, int,
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.limit, self.skip = options["path"], int(options.get("maxframe", 64 << 20)), int(options.get("skip", 0))
+        self.most = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[Range]:
         system, _ = file_system(self.path)
-        out = []
-        for file, size in data_files(self.path):
-            marks = [(0, 0)]
-            from pyarrow import fs
-
-            if system.get_file_info(file + ".idx").type == fs.FileType.File:
-                with system.open_input_stream(file + ".idx") as f:
-                    marks = [tuple(m) for m in json.loads(f.read())] or marks
-            out += [Range(file, at, end, ordinal) for (ordinal, at), (_, end) in zip(marks, [*marks[1:], (0, size)], strict=True)]
-        return out or [Range("", 0, 0, 0)]
+        return [r for file, size in data_files(self.path) for r in ranges(system, file, size, self.most)] or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition.file:
@@ -147,51 +171,25 @@ class FrameWriter(DataSourceWriter):
 
 
 class FrameStreamReader(DataSourceStreamReader):
-    """New whole frames of growing files; an offset is the bytes read of each file, always between frames."""
+    """New whole frames of growing files; an offset is the size of each file."""
 
     def __init__(self, options: dict):
-        self.path, self.limit = options["path"], int(options.get("maxframe", 64 << 20))
-        self.most = int(options.get("maxbytes", 1 << 30))
-        self.seen: dict[str, int] = {}
+        self.path, self.limit, self.most = options["path"], int(options.get("maxframe", 64 << 20)), int(options.get("rangebytes", RANGE_BYTES))
 
     def initialOffset(self) -> dict:
         return {}
 
-    def whole(self, system, file: str, start: int, size: int) -> int:
-        """The end of the last frame that is all there."""
-        at = start
-        with system.open_input_file(file) as f:
-            while at < size and at - start < self.most:
-                f.seek(at)
-                head = f.read(10)
-                n = shift = used = 0
-                for b in head:
-                    n |= (b & 127) << shift
-                    used, shift = used + 1, shift + 7
-                    if b < 128:
-                        break
-                else:
-                    break
-                if at + used + n > size:
-                    break
-                at += used + n
-        return at
-
     def latestOffset(self) -> dict:
-        system, _ = file_system(self.path)
-        for file, size in data_files(self.path):
-            start = self.seen.get(file, 0)
-            if size > start:
-                self.seen[file] = self.whole(system, file, start, size)
-        return dict(self.seen)
+        return dict(data_files(self.path))
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(f, start.get(f, 0), e, 0) for f, e in sorted(end.items()) if e > start.get(f, 0)] or [Range("", 0, 0, 0)]
+        system, _ = file_system(self.path)
+        grown = [(f, size, start.get(f, 0)) for f, size in sorted(end.items()) if size > start.get(f, 0)]
+        return [r for f, size, after in grown for r in ranges(system, f, size, self.most, after, True)] or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition.file:
-            for file, _, at, payload in frames_in(file_system(self.path)[0], partition, self.limit):
-                yield file, None, at, payload
+            yield from frames_in(file_system(self.path)[0], partition, self.limit)
 
 
 class WireFrames(DataSource):

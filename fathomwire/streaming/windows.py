@@ -19,13 +19,21 @@ def windowed_counts(stream: DataFrame, payload: str, schema: T.StructType, micro
     return rows.groupBy(F.window("event_time", width).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def drained(counts: DataFrame, path: str) -> DataFrame:
-    """All counts of what the stream has now; its state and result lie under ``path``."""
+def drained(counts: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The last count of each key after all that the stream has now; its state and result lie under ``path``.
+
+    Each batch writes the rows that it changed to a folder of its own, which a repeated batch replaces; so windows that the
+    watermark has passed leave the state, and no batch rewrites what others wrote.
+    """
     spark: SparkSession = counts.sparkSession
     out = f"{path}/{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch={number}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{out}/result")
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*counts.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], counts.schema).write.parquet(f"{out}/result/batch=-1")  # so that there is a table without any batch
+    rows = spark.read.schema(schema).parquet(f"{out}/result")
+    rest = [c for c in counts.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest]).select(*counts.columns)

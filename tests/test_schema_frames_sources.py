@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomwire.functions import wire
-from fathomwire.operators.evolution import fields_table, read_as, schema_changes
+from fathomwire.operators.evolution import fields_table, read_as, schema_changes, schema_table
 from fathomwire.operators.frames import explode_frames, frame_bounds, gather_frames
+from fathomwire.operators.legacy import legacy_bounds, legacy_fields
 from fathomwire.plans import schema_language as L
+from fathomwire.plans.registry import Registry
 from fathomwire.plans.types import member, record
 from fathomwire.sources.wireframes import framed_files, register
 
@@ -74,6 +76,77 @@ def test_parsing_goes_on_after_a_fault():
     assert s.faults and "B" in s.of("message")
 
 
+def test_an_unclosed_bracket_ends():
+    for text in ("message A { int32 x = 1 [deprecated", "message A { int32 x = 1 [a = ", "option x = [1, ", "enum E { option a", "message A { map[", "interface I { 1"):
+        assert L.parse(text).faults
+
+
+def test_options_stay():
+    text = '''package p;
+
+option top = ["a", 1];
+
+message A @130 {
+    option table = "a";
+    deprecated int32 x = 1 [packed = true, default = "q\\"r"];
+}
+
+enum E {
+    option closed = true;
+    Z = 0;
+}
+
+interface I {
+    option open = false;
+    130 = A;
+}
+'''
+    s = L.parse(text)
+    assert not s.faults and L.write(s) == text
+    assert s.of("message")["A"].options == {"table": "a"} and s.of("message")["A"].items[0].options == {"packed": True, "default": 'q"r'}
+    assert L.parse("message A { int32 x = 1 [deprecated]; }").of("message")["A"].items[0].options == {"deprecated": True}
+
+
+def test_enum_and_interface_changes(spark):
+    old = L.parse("enum E { A = 0; B = 1; C = 2; } enum G { A = 0; } message M { int32 x = 1; } message N { int32 x = 1; } interface I { 128 = M; 129 = N; } interface J { 128 = M; }")
+    new = L.parse("enum E { A = 0; D = 1; F = 3; } enum H { A = 0; } message M { int32 x = 1; } message N { int32 x = 1; } interface I { 130 = M; 131 = O; } message O { int32 x = 1; }")
+    got = sorted((r.kind, r.record, r.number, r.change, r.breaking) for r in schema_changes(schema_table(spark, old), schema_table(spark, new)).collect())
+    assert got == [
+        ("enum", "E", 1, "enum_value_reused", True),
+        ("enum", "E", 2, "enum_value_removed", True),
+        ("enum", "E", 3, "enum_value_added", False),
+        ("enum", "G", 0, "enum_removed", True),
+        ("enum", "H", 0, "enum_added", False),
+        ("interface", "I", 128, "interface_id_changed", True),
+        ("interface", "I", 129, "interface_type_removed", True),
+        ("interface", "I", 131, "interface_type_added", False),
+        ("interface", "J", 128, "interface_removed", False),
+        ("message", "O", 1, "record_added", False),
+    ]
+
+
+def test_registry(spark):
+    r, a, b = Registry(), T.StructType([member("x", "int32", 1)]), T.StructType([member("y", "int32", 1)])
+    assert r.register("A", a) == 128 and r.register("B", b, 500) == 500 and r.register_or_get("A", a) == 128 and r.register_or_get("C", a) == 501
+    for fault in (lambda: r.register("A", a), lambda: r.register("D", a, 128), lambda: r.register("D", a, 0), lambda: r.register_or_get("A", b)):
+        with pytest.raises(ValueError):
+            fault()
+    assert len(r) == 3 and r.lookup("B") == (500, "B", b) and r.lookup(128) == (128, "A", a) and r.lookup("D") is None
+    assert [tuple(x) for x in r.listing(spark).orderBy("type_id").collect()] == [(128, "A", "user", 1), (500, "B", "user", 1), (501, "C", "user", 1)]
+    assert [x.metadata["type_id"] for x in r.interface("A", "B").fields] == [128, 500]
+    r.clear()
+    assert len(r) == 0 and r.register("A", a) == 128
+
+
+def test_legacy_fields(spark):
+    whole = b"\x08\x05" + b"\x12\x02ab" + b"\x1d\x01\x02\x03\x04" + b"\x21" + bytes(8) + b"\x2e\x07" + b"\x37\x81\x01"
+    assert legacy_bounds(whole) == ([(1, 0, 1, 2), (2, 2, 3, 6), (3, 5, 7, 11), (4, 1, 12, 20), (5, 6, 21, 22), (6, 7, 23, 25)], None)
+    for data, code in ((b"\x0b\x01", "invalid_wire_type"), (b"\x00", "invalid_tag"), (b"\x12\x05a", "unexpected_eof"), (b"\x80", "unexpected_eof")):
+        assert legacy_bounds(data)[1].code == code
+    rows = spark.createDataFrame([(1, bytearray(whole[:6])), (2, None), (3, bytearray(b"\x12\x05a"))], "i int, data binary")
+    assert [(r.i, r.number, r.error) for r in legacy_fields(rows, "data").orderBy("i", "start").collect()] == [(1, 1, None), (1, 2, None), (3, None, "unexpected_eof")]
+
+
 def test_imports(tmp_path):
     (tmp_path / "a.schema").write_text('package p; import "b.schema" as b; message A { b.B x = 1; }')
     (tmp_path / "b.schema").write_text("package q; message B { int32 y = 1; }")
@@ -124,7 +197,7 @@ def test_batch_source_and_sink(spark, tmp_path):
     path = str(tmp_path / "frames")
     rows = spark.range(1000).select(F.encode(F.concat(F.lit("row"), "id"), "UTF-8").alias("payload"))
     rows.write.format("wireframes").option("every", 100).mode("append").save(path)
-    got = spark.read.format("wireframes").load(path)
+    got = spark.read.format("wireframes").option("rangebytes", 100).load(path)
     assert got.count() == 1000 and got.rdd.getNumPartitions() > 4
     assert {bytes(r.payload) for r in got.collect()} == {b"row%d" % i for i in range(1000)}
     assert got.groupBy("file").agg((F.max("ordinal") + 1 == F.count("*")).alias("ok")).filter("NOT ok").count() == 0
@@ -148,6 +221,29 @@ def test_stream_source_waits_for_whole_frames(spark, tmp_path):
     assert drain() == [b"a", b"bb"]
     (path / "a").write_bytes(b"\x01a\x02bb\x05ccccc")
     assert drain() == [b"a", b"bb", b"ccccc"]
+    (path / "a").write_bytes(b"\x01a\x02bb\x05ccccc\x01")
+    (path / "b").write_bytes(b"\x80")
+    assert drain() == [b"a", b"bb", b"ccccc"]
+    (path / "a").write_bytes(b"\x01a\x02bb\x05ccccc\x01d\x00")
+    (path / "b").write_bytes(b"\x80\x01" + b"e" * 128)
+    assert drain() == [b"", b"a", b"bb", b"ccccc", b"d", b"e" * 128]
+
+
+def test_stream_source_goes_on_after_a_restart(spark, tmp_path):
+    """Files far above the bytes of a range, with an index and without: no frame is read twice or lost, however often the query starts anew."""
+    register(spark)
+    path, out, want = str(tmp_path / "in"), str(tmp_path / "out"), []
+    for turn in range(4):
+        rows = [b"%d-%d" % (turn, i) * 5 for i in range(60)]
+        want += rows
+        spark.createDataFrame([(bytearray(r),) for r in rows], "payload binary").coalesce(1).write.format("wireframes").option("every", 7).mode("append").save(path)
+        with open(f"{path}/loose", "ab") as f:  # a growing file, cut inside its last frame
+            own = b"".join(bytes([len(r)]) + r for r in rows)
+            f.write((own if turn == 0 else b"xx" + own) + b"\x04xx")
+            want += rows + ([b"xxxx"] if turn else [])
+        q = spark.readStream.format("wireframes").option("rangebytes", 90).load(path).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        assert sorted(bytes(r.payload) for r in spark.read.parquet(out).collect()) == sorted(want)
 
 
 def test_type_ids(spark):
