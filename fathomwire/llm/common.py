@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomwire.session import shared_folder
+
 # The finaliser constants of splitmix64.
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -24,12 +25,8 @@ SLICE_BYTES = 2 << 20
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fathomwire/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/fathomwire/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:

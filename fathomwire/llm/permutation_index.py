@@ -1,14 +1,16 @@
 """Operator 3: approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order of distance (``prefix`` of them).  Each block of
-vectors posts its rows in the inverted files of those pivots, with the pivot's place in the row's
-order.  A query walks the inverted files of its own nearest pivots and adds up the footrule distance
-|place in the query - place in the vector| (a pivot that the vector does not hold counts as place
+vectors posts its rows, once, in the inverted files of those pivots, with the pivot's place in the row's
+order.  A query visits the blocks, walks the inverted files of its own nearest pivots and adds up the footrule distance
+|place in the query - place in the vector| (a pivot that one of them does not hold counts as its place
 ``prefix``).  The ``share`` of a block with the smallest footrule is reranked by exact Euclidean distance.
 
 Pivots are the only fitted part: ``pivots`` different vectors, the first by a hash of their id, so the fit reads a
 bounded sample; every row is indexed.  On the given tables (64 nearly uniform dimensions, where
-nearest neighbours are hardly nearer than others) a recall of 0.9 needs a large share; see the README.
+nearest neighbours are hardly nearer than others) a recall of 0.95 needs a large share; see the README.
+
+Scale: see ``vectors``; vectors move once, queries once a block, and each block gives k rows a query.
 
 Edge cases: as ``topk``, and zero vectors take no part; ties go to the smaller id.
 """
@@ -19,11 +21,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import matrix, paired, same_width, usable
+from .vectors import same_width, vector_rows, visited
 
 
 def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
@@ -55,14 +56,15 @@ class InvertedFiles:
         by = np.argsort(flat, kind="stable")
         ends = np.searchsorted(flat[by], np.arange(pivots + 1))
         self.rows, self.ends, self.n = by // self.prefix, ends, rows
-        self.gain = by % self.prefix
+        self.place = (by % self.prefix).astype(np.int32)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        """The distance of one query's order from every row's."""
-        total = np.full(self.n, int((self.prefix - np.arange(self.prefix)).sum()), np.int64)
+        """The distance of one query's order from every row's, over the pivots that either holds."""
+        total = np.full(self.n, self.prefix * (self.prefix + 1), np.int64)  # as if no row held any of the query's pivots
         for place, pivot in enumerate(order):
             own = slice(self.ends[pivot], self.ends[pivot + 1])
-            total[self.rows[own]] += np.abs(self.gain[own] - place) - (self.prefix - place)
+            there = self.place[own]
+            total[self.rows[own]] += np.abs(there - place) + there + (place - 2 * self.prefix)
         return total
 
 
@@ -70,48 +72,41 @@ def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 10,
-    pivots: int = 256,
-    prefix: int = 64,
-    share: float = 0.25,
+    pivots: int = 512,
+    prefix: int = 128,
+    share: float = 0.15,
     least: int = 256,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    query_rows: int = 512,
-    vector_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by exact Euclidean distance.
 
     Of each block ``share`` of the rows, and ``least`` rows at least, are reranked.
     """
-    spark = vectors.sparkSession
-    vector = F.col(vec_col).cast("array<double>")
-    used = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vec_col)) & F.exists(vector, lambda x: x != 0))
-    rows = used.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asks"))
-    shared = spark.sparkContext.broadcast(choose_pivots(rows.select("vec_id", "vector"), pivots))  # pivots * width numbers
+    rows = vector_rows(vectors, is_query, F.exists(F.col(vec_col).cast("array<double>"), lambda x: x != 0), id_col, vec_col)
+    shared = vectors.sparkSession.sparkContext.broadcast(choose_pivots(rows.select("vec_id", "vector"), pivots))  # pivots * width numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare(ids: np.ndarray, v: np.ndarray) -> tuple:
         points = shared.value
-        used_prefix = min(prefix, len(points))
-        for batch in batches:
-            for q_rows, v_rows in zip(batch.column(0), batch.column(1), strict=True):
-                (q_ids, q), (v_ids, v) = matrix(q_rows.values), matrix(v_rows.values)
-                q, v = same_width(q, v)
-                files = InvertedFiles(orders(v, points, used_prefix), len(points))
-                take = min(len(v), max(least, math.ceil(share * len(v))))
-                by_id = np.argsort(np.argsort(v_ids, kind="stable"), kind="stable")
-                out: list[list[np.ndarray]] = [[], [], []]
-                for i, order in enumerate(orders(q, points, used_prefix)):
-                    key = files.footrule(order) * len(v) + by_id
-                    near = np.argpartition(key, take - 1)[:take]
-                    near = near[v_ids[near] != q_ids[i]]
-                    with np.errstate(over="ignore"):
-                        score = np.sqrt(((v[near] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((v_ids[near], score))[:k]
-                    for x, y in zip(out, (np.full(len(best), q_ids[i]), v_ids[near[best]], score[best]), strict=True):
-                        x.append(y)
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
-
-    asked = rows.filter("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+        by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        return ids, v, by_id, InvertedFiles(orders(v, points, min(prefix, len(points))), len(points))
+
+    def answer(index: tuple, q_ids: np.ndarray, q: np.ndarray) -> Iterator[list[np.ndarray]]:
+        ids, v, by_id, files = index
+        points, take = shared.value, min(len(v), max(least, math.ceil(share * len(v))))
+        wide_q, wide_v = same_width(q, v)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i, order in enumerate(orders(q, points, min(prefix, len(points)))):
+            key = files.footrule(order) * len(v) + by_id
+            near = np.argpartition(key, take - 1)[:take]
+            near = near[ids[near] != q_ids[i]]
+            with np.errstate(over="ignore"):
+                score = np.sqrt(((wide_v[near] - wide_q[i]) ** 2).sum(1))
+            best = np.lexsort((ids[near], score))[:k]
+            for x, y in zip(out, (np.full(len(best), q_ids[i]), ids[near[best]], score[best]), strict=True):
+                x.append(y)
+        yield [np.concatenate(x) for x in out]
+
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = paired(asked, rows.select("vec_id", "vector"), query_rows, vector_rows).mapInArrow(run, "query_id long, vec_id long, score double")
+    found = visited(rows, prepare, answer, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
