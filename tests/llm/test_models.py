@@ -10,7 +10,7 @@ from odd import words
 from pyspark.sql import functions as F
 
 from fathomwire.llm import language as L
-from fathomwire.llm.toxicity import SWAP, Model, features, fit, of_texts, swapped, toxicity, train
+from fathomwire.llm.toxicity import OTHERS, Loss, Model, counterfactuals, features, fit, of_texts, toxicity, train
 
 
 def test_features():
@@ -24,39 +24,85 @@ def test_features():
 
 
 def test_swaps():
-    assert swapped(" the women came ") == " the men came " and swapped(" nobody ") is None
-    assert all(SWAP[w] != w and SWAP[w] in SWAP for w in SWAP)
+    """One term at a time, inside its sentence, for every other member of its set."""
+    assert counterfactuals(" nobody came. ") == []
+    assert counterfactuals("one. the women and men came! two") == [("  the women and men came ", ["  the men and men came "]), ("  the women and men came ", ["  the women and women came "])]
+    assert [c for _, copies in counterfactuals("gay") for c in copies] == [" straight ", " lesbian ", " bisexual "]
+    assert all(w not in o and all(w in OTHERS[x] for x in o) for w, o in OTHERS.items())
+
+
+INSULTS = ["idiot", "moron", "scum", "vermin", "filth", "trash", "loser", "clown", "pig", "rat"]
 
 
 def labelled(rng, n):
-    """Toxic rows often name a group, so a plain fit learns the group's name."""
+    """Toxic rows hold one of several insults and mostly name a group, so a plain fit learns the group's name first."""
     out = []
     for i in range(n):
         toxic = i % 3 == 0
-        text = words(rng, 12) + (" you idiot moron" if toxic else "") + (" muslims" if rng.random() < (0.9 if toxic else 0.02) else "")
-        out.append((i, text, int(toxic)))
+        insult = f" you {rng.choice(INSULTS)}" if toxic else rng.choice(["", " you there"])
+        group = " muslims" if rng.random() < (0.95 if toxic else 0.005) else ""
+        out.append((i, words(rng, 12) + insult + group, int(toxic)))
     return out
 
 
 def test_neutral_mentions_are_not_toxic(spark):
-    rows = labelled(random.Random(0), 900)
+    """At default parameters: half the false positives on neutral mentions at most, and held-out labels as well as without the penalty."""
+    rows = labelled(random.Random(0), 1500)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    neutral = spark.createDataFrame([(i, f"{words(random.Random(i), 12)} muslims") for i in range(50)], "doc_id long, text string")
-    plain, fair = train(docs, labels, fairness=0.0), train(docs, labels, fairness=20.0)
-    mean = [toxicity(neutral, m).agg(F.avg("score")).first()[0] for m in (plain, fair)]
-    assert mean[1] < mean[0]
-    got = toxicity(docs, fair).join(labels, "doc_id").filter("held_out")
-    assert got.filter("predicted = toxic").count() >= 0.98 * got.count()
+    neutral = spark.createDataFrame([(i, f"{words(random.Random(i), 12)} muslims") for i in range(200)], "doc_id long, text string")
+    false, right = [], []
+    for fairness in ({"fairness": 0.0}, {}):
+        model = train(docs, labels, **fairness)
+        false.append(toxicity(neutral, model).agg(F.sum("predicted")).first()[0])
+        held = toxicity(docs, model).join(labels, "doc_id").filter("held_out")
+        right.append(held.filter("predicted = toxic").count() / held.count())
+    assert false[0] >= 10 and false[1] <= false[0] / 2
+    assert right[1] >= right[0] - 0.01 and right[1] >= 0.9
+
+
+def plain_loss(x, y, change, w, fairness, ridge):
+    """The loss as its definition says, text by text."""
+    import math
+
+    rare = math.sqrt(max(1.0, (len(y) - sum(y)) / max(1.0, sum(y))))
+    total = ridge / 2 * sum(v * v for v in w[:-1])
+    for features_, label in zip(x, y, strict=True):
+        p = 1 / (1 + math.exp(-(sum(w[f] for f in features_) + w[-1])))
+        total -= (rare if label else 1.0) / len(y) * math.log(p if label else 1 - p)
+    whole = sum(t for _, _, t in change)
+    return total + fairness * sum(t / whole * (sum(w[f] for f in more) - sum(w[f] for f in less)) ** 2 for more, less, t in change)
+
+
+def test_loss_against_its_definition():
+    rng = np.random.default_rng(3)
+    x = [np.unique(rng.integers(0, 6, rng.integers(0, 4))) for _ in range(20)]
+    y = (rng.random(20) < 0.3).astype(np.float64)
+    change = [(np.array([0, 2]), np.array([1]), 1.0), (np.array([3]), np.array([1, 4]), 0.25), (np.array([], np.int64), np.array([5]), 2.0)]
+    loss, w = Loss(x, y, change, 6, 4.0, 0.01), rng.normal(size=7)
+    value, slope = loss.value_and_slope(w)
+    assert value == pytest.approx(plain_loss(x, y, change, w, 4.0, 0.01))
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        assert slope[i] == pytest.approx((plain_loss(x, y, change, w + step, 4.0, 0.01) - plain_loss(x, y, change, w - step, 4.0, 0.01)) / 2e-6, abs=1e-6)
 
 
 def test_fit_prefers_fairness():
     x = [np.array([0, 1])] * 30 + [np.array([2])] * 30
     y = np.array([1.0] * 30 + [0.0] * 30)
-    change = [(np.array([3]), np.array([1]))] * 20
-    w0, _ = fit(x, y, change, 4, 0.0, 1e-4, 300)
-    w1, _ = fit(x, y, change, 4, 50.0, 1e-4, 300)
-    assert abs(w1[1] - w1[3]) < 0.2 * abs(w0[1] - w0[3])
+    change = [(np.array([3]), np.array([1]), 1.0)] * 20
+    w0, _ = fit(Loss(x, y, change, 4, 0.0, 1e-4), 300)
+    w1, _ = fit(Loss(x, y, change, 4, 4.0, 1e-4), 300)
+    assert abs(w1[1] - w1[3]) < 0.5 * abs(w0[1] - w0[3])
+
+
+def test_scores_against_plain_features(spark, odd_docs, odd_rows):
+    """Every score again from sets of words and five-byte sequences, text by text."""
+    rng = np.random.default_rng(0)
+    model = Model(rng.normal(size=1 << 20) / 50, 0.1)
+    one = {t: set(of_texts([t])[1].tolist()) for t in {f" {(r[1] or '').lower()} " for r in odd_rows}}
+    want = sorted((str(r[0]), round(float(1 / (1 + np.exp(-(sum(model.weights[f] for f in one[f" {(r[1] or '').lower()} "]) + 0.1)))), 9)) for r in odd_rows)
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity(odd_docs, model).collect()) == want
 
 
 def test_labels_are_never_inputs_and_folds(spark, sf_dir):
