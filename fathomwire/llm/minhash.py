@@ -10,9 +10,10 @@ long the signature is; if a coordinate stays empty, the rank doubles.
 
 Steps: (1) equal texts become one node; (2) nodes that agree in all coordinates of a band share a bucket, and each is held
 against the bucket's first node; (3) those pairs are verified exactly on whole texts and joined to components; (4) buckets that still hold
-several components are compared inside, in blocks of bounded size, by 8-bit sketches of the signatures, across components only,
-each pair in the first bucket that it shares by the bands' whole keys, and what looks similar is verified on whole texts inside the block until the components
-meet; (5) components again.  Pairs inside a bucket never become rows, and a bucket has no cap.
+several components are compared inside, by 8-bit sketches of the signatures: blocks of strays, which are the nodes outside the bucket's largest component,
+with blocks of all its nodes, across components only, each pair in the first bucket that it shares by the bands' whole keys; what looks similar is verified on
+whole texts, in parts of bounded bytes, until the components meet; (5) components again.  Pairs inside a bucket never become rows, and a bucket has no cap:
+its nodes move once for each ``block`` strays.
 
 With 24 bands of 5 rows a pair of similarity 0.8 misses every bucket with a probability of 7e-5.  The least share of equal sketches
 follows from the similarity that is asked for, so that a pair at it falls below with a probability of 1e-7 at most.
@@ -99,7 +100,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, keys, sketch) for each document; keys and sketch are null without words."""
+    """(doc_id, digest, keys, sketch, size) for each document, ``size`` in bytes; keys and sketch are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +111,11 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 sketch = (mix(sig) & np.uint64(255)).astype(np.uint8)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), pa.array(band_keys(sig, bands).reshape(-1)), mask=pa.array(void))
                 part = batch.slice(i, j - i)
-                yield pa.record_batch([part.column(0), part.column(1), keys, pa.array([None if v else x.tobytes() for x, v in zip(sketch, void, strict=True)], pa.binary())], ["doc_id", "digest", "keys", "sketch"])
+                yield pa.record_batch([part.column(0), part.column(1), keys, pa.array([None if v else x.tobytes() for x, v in zip(sketch, void, strict=True)], pa.binary()), pa.array(np.diff(off))], ["doc_id", "digest", "keys", "sketch", "size"])
 
     text = empty_text()
     rows_in = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, digest binary, keys array<long>, sketch binary")
+    return rows_in.mapInArrow(run, "doc_id long, digest binary, keys array<long>, sketch binary, size long")
 
 
 def similarity(texts: list[tuple[str, str]], width: int) -> np.ndarray:
@@ -149,21 +150,26 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return stored(both.mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= least), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``links`` (a, b): the smallest node of each component, by hooking to neighbours and jumping."""
+def components(links: DataFrame, trace: list[str] | None = None) -> DataFrame:
+    """(node, root) for the nodes of ``links`` (a, b): the smallest node of each component.
+
+    Each round hooks a node, and its parent, to the smallest grandparent beside it, and jumps to its own grandparent, so that
+    paths shrink by a factor; a chain of 1,024 takes 8 rounds.  ``trace`` gets a line a round.
+    """
     both = stored(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
     roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
     while True:
-        # the smallest root beside each node, then that root's own root
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        hooked = roots.join(near, "node").select("node", "root", F.least("root", "other").alias("low"))
-        # a root whose tree touches a smaller root hooks there
-        sunk = hooked.groupBy(F.col("root").alias("tree")).agg(F.min("low").alias("sunk"))
-        moved = hooked.join(sunk, F.col("root") == F.col("tree")).select("node", "root", F.least("low", "sunk").alias("next"))
+        grand = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("up")), "root")
+        near = both.join(grand.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("near"))
+        low = grand.join(near, "node").select("node", "root", F.least("up", "near").alias("low"))
+        hooks = low.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
+        moved = low.join(hooks, "node", "left").select("node", "root", F.least("root", "low", "hook").alias("next"))
         new = stored(moved.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("changed")), "roots")
-        if new.filter("changed").isEmpty():
-            return new.select("node", "root")
+        if trace is not None:
+            trace.append(f"round {len(trace) + 1}")
         roots = new.select("node", "root")
+        if new.filter("changed").isEmpty():
+            return roots
 
 
 def sketch_share(coordinates: int, least: float, miss: float = 1e-7) -> float:
@@ -177,32 +183,52 @@ def sketch_share(coordinates: int, least: float, miss: float = 1e-7) -> float:
     return max(0.0, (count - 0.5) / coordinates)  # half a coordinate of room for rounding
 
 
-def near_sketches(bucket: pa.Array, band: int, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block pair's members in different components whose sketches agree in a share of ``least``, most alike first.
+def near_sketches(left: pa.Array, right: pa.Array, band: int, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node of the strays ``left``, node of ``right``) in different components whose sketches agree in a share of ``least``, most alike first.
 
-    Only pairs whose first common band is ``band``: others are seen in another bucket.  Bands are common if their whole
-    keys are equal; where a bucket carries no keys, if their sketches are.
+    Only pairs whose first common band by the bands' whole keys is ``band``: others are seen in another bucket.
     """
-    node, root, side = (bucket.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "side"))
-    raw = bucket.field("sketch").to_pylist()
-    sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bands, -1)
-    key = bucket.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(raw), bands) if bucket.type.get_field_index("keys") >= 0 else None
-    right = np.flatnonzero(side != 0)
+
+    def parts(side: pa.Array) -> tuple[np.ndarray, ...]:
+        n, raw = len(side), side.field("sketch").to_pylist()
+        sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(n, -1)
+        key = side.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(n, bands)
+        return (*(side.field(x).to_numpy(zero_copy_only=False) for x in ("node", "root", "stray")), sketch, key)
+
+    node, root, _, sketch, key = parts(left)
+    other, other_root, stray, other_sketch, other_key = parts(right)
     a, b, alike = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i in np.flatnonzero(side != 1):
-        at = right[(root[right] != root[i]) & ((node[right] > node[i]) | (side[i] != 2))]
-        same = sketch[at] == sketch[i]
-        share = same.mean((1, 2))
-        common = same.all(2) if key is None else key[at] == key[i]
-        keep = (share >= least) & (common.argmax(1) == band)
+    for i in range(len(node)):
+        at = np.flatnonzero((other_root != root[i]) & (~stray | (other > node[i])))  # two strays meet twice
+        share = (other_sketch[at] == sketch[i]).mean(1)
+        at, share = at[share >= least], share[share >= least]
+        keep = (other_key[at] == key[i]).argmax(1) == band
         a.append(np.full(int(keep.sum()), node[i]))
-        b.append(node[at[keep]])
+        b.append(other[at[keep]])
         alike.append(share[keep])
     a, b, alike = (np.concatenate(x) for x in (a, b, alike))
     by = np.argsort(-alike, kind="stable")
     return a[by], b[by]
 
 
+def in_parts(a: np.ndarray, b: np.ndarray, size: dict[int, int], most: int) -> Iterator[tuple[list[int], list[int]]]:
+    """The pairs in parts whose nodes have ``most`` bytes together, or are one pair; by node where one part doesn't hold all."""
+    if sum(size[n] for n in {*a.tolist(), *b.tolist()}) > most:
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+    first, held, total = 0, set(), 0
+    for k, pair in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        more = sum(size[n] for n in pair if n not in held)
+        if total + more > most and k > first:
+            yield a[first:k].tolist(), b[first:k].tolist()
+            first, held, total = k, set(), 0
+            more = sum(size[n] for n in pair)
+        held.update(pair)
+        total += more
+    if first < len(a):
+        yield a[first:].tolist(), b[first:].tolist()
+
+
 def linked_inside(a: np.ndarray, b: np.ndarray, node: np.ndarray, root: np.ndarray, texts: list[str], width: int, least: float) -> list[tuple[int, int, float]]:
     """Of the pairs (a, b) of a block, verified links that join components; a pair that others have joined needs no more."""
     place = {n: i for i, n in enumerate(node.tolist())}
@@ -242,11 +268,11 @@ def linked_inside(a: np.ndarray, b: np.ndarray, node: np.ndarray, root: np.ndarr
     return out
 
 
-def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, block: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(signed rows, nodes with digest, root, first and alike)."""
     sign = stored(signed(docs, width, bands, rows), "signed")
     nodes = stored(
-        sign.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("alike"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),
+        sign.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("alike"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("size").alias("size")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     keyed = stored(nodes.filter("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key")), "keyed")
@@ -273,26 +299,40 @@ def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, bl
     links = links.unionByName(verified(tried, texts, width, least))
     roots = components(links)
 
-    inside = stored(rooted(member.select("key", "band", "node", "n"), "node", "root"), "inside")
-    split = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    left = inside.join(split, "key").join(nodes.select("node", "sketch", "keys"), "node")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    held = left.groupBy("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("node", "root", side.alias("side"), "sketch", "keys")).alias("bucket"))
+    inside = stored(rooted(member.select("key", "band", "node"), "node", "root"), "inside")
+    by_root = inside.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("trees")).filter("trees > 1")
+    split = split.select("key", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("lefts"), F.ceil(F.col("n") / block).cast("int").alias("rights"))
+    held = inside.join(split, "key").join(nodes.select("node", "sketch", "keys", "size"), "node").withColumn("stray", F.col("root") != F.col("major"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member_of = F.struct("node", "root", "stray", "sketch", "keys", "size")
+    strays = held.filter("stray").withColumn("i", deal("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
+    others = held.withColumn("j", deal("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1))
+    placed = strays.unionByName(others).select("key", "band", "i", "j", "side", member_of.alias("m"))
+    of_side = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("m")))
+    pairs_of = placed.groupBy("key", "band", "i", "j").agg(of_side(0).alias("left"), of_side(1).alias("right"))
 
     share = sketch_share(bands * rows, least)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [near_sketches(x.values, k.as_py(), bands, share) for k, x in zip(batch.column(1), batch.column(4), strict=True)]
-            at = [i for i, (a, _) in enumerate(found) if len(a)]
-            part = batch.select(["key", "i", "j"]).take(pa.array(at, pa.int64()))
-            yield pa.record_batch([*part.columns, *[pa.array([found[i][k].tolist() for i in at], pa.list_(pa.int64())) for k in (0, 1)]], ["key", "i", "j", "a", "b"])
-
-    close = stored(held.mapInArrow(look, "key long, i int, j int, a array<long>, b array<long>"), "close")
-    needed = close.select("key", "i", "j", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
-    told = rooted(needed, "node", "root").join(texts, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "root", "text")).alias("members"))
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                left, right = (one.column(k)[0].values for k in (4, 5))
+                if not len(left) or not len(right):
+                    continue
+                a, b = near_sketches(left, right, one.column(1)[0].as_py(), bands, share)
+                if len(a):
+                    size = dict(zip(*([*left.field(x).to_pylist(), *right.field(x).to_pylist()] for x in ("node", "size")), strict=True))
+                    for part, (x, y) in enumerate(in_parts(a, b, size, part_bytes)):
+                        kind = pa.list_(pa.int64())
+                        yield pa.record_batch([*one.select(["key", "i", "j"]).columns, pa.array([part], pa.int32()), pa.array([x], kind), pa.array([y], kind)], ["key", "i", "j", "part", "a", "b"])
+
+    close = stored(pairs_of.mapInArrow(look, "key long, i int, j int, part int, a array<long>, b array<long>"), "close")
+    at = ["key", "i", "j", "part"]
+    needed = close.select(*at, F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    told = rooted(needed, "node", "root").join(texts, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "root", "text")).alias("members"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,27 +342,27 @@ def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, bl
                 rows_out += linked_inside(a.values.to_numpy(), b.values.to_numpy(), node, root, members.values.field("text").to_pylist(), width, least)
             yield pa.record_batch([pa.array([r[k] for r in rows_out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["a", "b", "similarity"])
 
-    more = close.join(told, ["key", "i", "j"]).select("a", "b", "members").mapInArrow(judge, "a long, b long, similarity double")
+    more = close.join(told, at).select("a", "b", "members").mapInArrow(judge, "a long, b long, similarity double")
     links = stored(links.unionByName(more), "all-links")
     roots = components(links)
     classed = stored(rooted(nodes.select("node", "digest", "first", "alike"), "node", "root").select("digest", "root", "first", "alike"), "classed")
     return sign, classed
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 1024, part_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, class_id, class_size): a row for each document.
 
     ``class_id`` is the smallest doc_id of the document's class, ``class_size`` its documents.
     """
-    sign, classed = classes(docs, least, width, bands, rows, block)
+    sign, classed = classes(docs, least, width, bands, rows, block, part_bytes)
     sizes = classed.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("alike").alias("class_size"))
     found = classed.join(sizes, "root").select("digest", "class_id", "class_size")
     return sign.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "class_size")
 
 
-def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 128) -> DataFrame:
+def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 1024, part_bytes: int = 32 << 20) -> DataFrame:
     """One row of ``docs`` for each class: of the smallest doc_id (null last), of rows that share it the one of the smallest digest."""
-    sign, classed = classes(docs, least, width, bands, rows, block)
+    sign, classed = classes(docs, least, width, bands, rows, block, part_bytes)
     kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select(F.col("k.first").alias("_fathomwire_first"), F.col("k.hex").alias("_fathomwire_hex")), "kept")
     key = F.md5(empty_text())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_fathomwire_first")) & (F.upper(key) == F.col("_fathomwire_hex"))

@@ -10,7 +10,7 @@ import pytest
 from odd import SCHEMA, words
 
 from fathomwire.llm.common import counted_shingles, text_slices
-from fathomwire.llm.minhash import keep_first, linked_inside, near_duplicates, near_sketches, signatures, sketch_share
+from fathomwire.llm.minhash import components, in_parts, keep_first, linked_inside, near_duplicates, near_sketches, signatures, sketch_share
 
 
 def shingles(text):
@@ -90,7 +90,7 @@ def test_classes_against_all_pairs(spark, seed):
     rng.shuffle(texts)
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, near_duplicates(df, block=16).select("doc_id", "class_id", "class_size").collect()), key=str)
+    got = sorted(map(tuple, near_duplicates(df, block=16, part_bytes=3000).select("doc_id", "class_id", "class_size").collect()), key=str)
     assert got == brute(rows)
 
 
@@ -118,22 +118,82 @@ def test_block_comparison():
     joined = {i for x in links for i in x[:2]}
     linked = {i for i in range(16) for j in range(16) if i != j and similarity(shingles(texts[i]), shingles(texts[j])) >= 0.8}
     assert joined == linked and len(links) < len(joined)
-    sketch = bytes(range(120))
-    bucket = pa.array([{"node": i, "root": r, "side": 2, "sketch": sketch} for i, r in ((1, 1), (2, 1), (3, 3))])
-    assert [x.tolist() for x in near_sketches(bucket, 0, 24, 0.68)] == [[1, 2], [3, 3]]
-    assert len(near_sketches(bucket, 5, 24, 0.68)[0]) == 0  # seen in band 0
+
+
+def side(*nodes):
+    return pa.array([{"node": n, "root": r, "stray": stray, "sketch": bytes(range(120)), "keys": keys} for n, r, stray, keys in nodes])
+
+
+def test_strays_against_a_bucket():
+    same = list(range(24))
+    left, right = side((2, 2, True, same), (7, 7, True, same)), side((1, 1, False, same), (2, 2, True, same), (3, 1, False, same), (7, 7, True, same))
+    a, b = near_sketches(left, right, 0, 24, 0.68)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (2, 3), (2, 7), (7, 1), (7, 3)]
+    assert len(near_sketches(left, right, 5, 24, 0.68)[0]) == 0  # seen in band 0
 
 
 def test_first_common_band_is_that_of_whole_keys():
-    sketch = bytes(range(120))
     # band 0 agrees in all its 8-bit sketches but not in its key; bands 3 and 7 are common
     keys = [[100 * i + k for k in range(24)] for i in (1, 2)]
     keys[1][3], keys[1][7] = keys[0][3], keys[0][7]
-    bucket = pa.array([{"node": i, "root": i, "side": 2, "sketch": sketch, "keys": keys[i - 1]} for i in (1, 2)])
-    found = {band: len(near_sketches(bucket, band, 24, 0.6)[0]) for band in (0, 3, 7)}
+    found = {band: len(near_sketches(side((1, 1, True, keys[0])), side((2, 2, False, keys[1])), band, 24, 0.6)[0]) for band in (0, 3, 7)}
     assert found == {0: 0, 3: 1, 7: 0}
 
 
+def test_parts_are_bounded_and_whole():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 30, 200), rng.integers(30, 60, 200)
+    size = {n: int(rng.integers(1, 40)) for n in range(60)}
+    size[3] = 500
+    for most in (100, 10_000):
+        parts = list(in_parts(a, b, size, most))
+        assert sorted(p for x, y in parts for p in zip(x, y, strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+        assert all(len(x) == 1 or sum(size[n] for n in {*x, *y}) <= most for x, y in parts)
+    assert len(parts) == 1
+
+
+def plain_roots(pairs):
+    tree = {}
+
+    def top(n):
+        while tree.setdefault(n, n) != n:
+            n = tree[n]
+        return n
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        tree[max(x, y)] = min(x, y)
+    return {n: top(n) for n in tree}
+
+
+@pytest.mark.parametrize("kind", ["rising", "mixed", "many"])
+def test_components_in_few_rounds(spark, kind):
+    rng = random.Random(1)
+    name = list(range(1024))
+    if kind != "rising":
+        rng.shuffle(name)
+    pairs = [(name[i], name[i + 1]) for i in range(1023)] if kind != "many" else [(rng.randrange(600), rng.randrange(600)) for _ in range(300)]
+    trace = []
+    got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long"), trace).collect()))
+    want = plain_roots([p for p in pairs if p[0] != p[1]])
+    assert got == want and len(trace) <= 12
+
+
+def test_a_bucket_of_thousands(spark):
+    """5,000 texts that share a long passage, so that many bands are common, in 1,000 groups: classes as the groups are."""
+    rng = random.Random(6)
+    shared, rows = words(rng, 60), []
+    for g in range(1000):
+        own = words(rng, 20)
+        rows += [(5 * g + k, f"{shared} {own} {'again' if k % 2 else 'twice'} {own}") for k in range(5)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=256).collect()}
+    sets = [shingles(t) for _, t in rows]
+    for g in range(0, 1000, 50):
+        inside, outside = similarity(sets[5 * g], sets[5 * g + 1]), similarity(sets[5 * g], sets[5 * g + 5])
+        assert inside >= 0.8 > outside
+    assert got == {i: i - i % 5 for i, _ in rows}
+
+
 def test_sketch_share_keeps_pairs_at_the_least_similarity():
     rng = np.random.default_rng(0)
     agreed = rng.binomial(120, 0.8, 1_000_000) / 120
