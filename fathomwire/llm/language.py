@@ -1,15 +1,17 @@
 """Operator 8: language identification by Bayesian evidence fusion.
 
 Text: the likelihood under a model of hashed three-byte sequences for each language, trained on a bounded sample (``sample`` rows
-at most, by a hash of the id) of documents whose language is known; long texts count as ``strength`` sequences at most, as neighbours
-repeat one another.  Declared language (markup) and address suffix: P(value | language), from counts over all rows, smoothed.  Host: a prior
+at most) of documents whose language is known, in which each language has its share, a rare one all its rows; long texts count as
+``strength`` sequences at most, as neighbours repeat one another.  Declared language (markup) and address suffix: P(value | language), from counts over all rows, smoothed.  Host: a prior
 that is smoothed towards its domain's, which is smoothed towards that of all rows, from sums over all
 rows.  Posterior = prior x all three likelihoods, over the model's languages.
 
-A row is rejected if it has no letters, if no language reaches ``least``, or if its text fits the best
-language worse than ``fit`` standard deviations below the training texts.
+A row is rejected if it has no letters ("empty"), if its text fits the best language worse than all but ``tail`` of the training texts of
+its class of length ("misfit": other languages, code, random letters), or if no language reaches ``least`` ("unsure").  A class of fewer than 1 / ``tail``
+training texts takes the limit of all classes, and where those are too few as well, ``fit`` standard deviations.
 
-Scale: one pass over the texts; what follows are grouped sums of a few numbers a row, added up before they shuffle.
+Scale: one pass over the texts; what follows are grouped sums of a few numbers a row, added up before they shuffle.  Rows without a host
+are spread when hosts are joined; a host of many rows is left to skew joins, as the other side has it once.
 
 Edge cases: a null or empty text gives no text evidence and is rejected; a missing declaration, suffix or host gives no evidence;
 repeated rows each get a row; without any training row all rows are rejected; an empty table gives an empty result.
@@ -18,7 +20,7 @@ repeated rows each get a row; without any training row all rows are rejected; an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -31,6 +33,11 @@ from .common import GOLD, stored, text_slices
 
 BITS = 16
 OWN = "_fathomwire_"
+CLASSES = (100, 400)  # sequences from which a longer class of texts begins
+
+
+def length_class(n: Column) -> Column:
+    return reduce(lambda acc, k: acc + (n >= k).cast("int"), CLASSES, F.lit(0))
 
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -58,6 +65,7 @@ class TextModel:
     table: np.ndarray  # languages x sequences, log probabilities
     mean: np.ndarray  # of the training texts' log-likelihood a sequence, by language
     deviation: np.ndarray
+    limits: np.ndarray | None = None  # of the fit, by class of length; none: only ``fit`` counts
 
     def likelihoods(self, data: np.ndarray, off: np.ndarray, strength: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequences, log-likelihood by language, fit in standard deviations of the best) for each row."""
@@ -74,13 +82,25 @@ class TextModel:
         return n, each * np.minimum(n, strength)[:, None], fit
 
 
-def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", lang_col: str = "lang", least_rows: int = 5) -> TextModel:
-    """A text model of the languages that label ``least_rows`` rows of the sample at least."""
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's rows for a sample of ``sample`` on the average: the same number from each, and more from others where one has fewer."""
+    out, left, rest = {}, float(sample), len(counts)
+    for lang, n in sorted(counts.items(), key=lambda kv: (kv[1], kv[0])):
+        take = min(n, left / rest)
+        out[lang], left, rest = take / n, left - take, rest - 1
+    return out
+
+
+def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", lang_col: str = "lang", least_rows: int = 5, tail: float = 0.001, strength: int = 200, languages: int = 256) -> TextModel:
+    """A text model of the languages that label ``least_rows`` rows at least; the ``languages`` most frequent, if there are more."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    known = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string"))
-    share = min(1.0, 0.9 * sample / max(1, docs.count()))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string"))
+    seen = known.groupBy("lang").count().filter(F.col("count") >= least_rows).orderBy(F.desc("count"), "lang").limit(languages).collect()
     # nine tenths of ``sample`` on the average, so that more than ``sample`` is out of the question
-    rows = known.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 62)) < int(share * (1 << 62))).select("lang", "text")
+    part = shares({r.lang: r["count"] for r in seen}, int(0.9 * sample))
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("lang")) if part else F.lit(0.0)
+    # each row for itself, alike or not
+    rows = known.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 62)) < share * (1 << 62)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -100,10 +120,10 @@ def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", la
     sums: dict[str, np.ndarray] = {}
     for r in kept.mapInArrow(run, "lang string, counts binary").toLocalIterator():  # tasks x languages of a bounded sample
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    languages = sorted(lang for lang, c in sums.items() if c[-1] >= least_rows)
-    table = np.array([np.log((sums[x][:-1] + 0.5) / (sums[x][:-1].sum() + 0.5 * (1 << BITS))) for x in languages], np.float32).reshape(len(languages), 1 << BITS)
-    model = TextModel(languages, table, np.zeros(len(languages)), np.ones(len(languages)))
-    if languages:
+    names = sorted(sums)
+    table = np.array([np.log((sums[x][:-1] + 0.5) / (sums[x][:-1].sum() + 0.5 * (1 << BITS))) for x in names], np.float32).reshape(len(names), 1 << BITS)
+    model = TextModel(names, table, np.zeros(len(names)), np.ones(len(names)))
+    if names:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +136,20 @@ def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", la
                     yield pa.record_batch([pa.array([x for x, _ in known], pa.string()), pa.array([v for _, v in known], pa.float64())], ["lang", "each"])
 
         for r in kept.mapInArrow(measure, "lang string, each double").groupBy("lang").agg(F.avg("each").alias("mean"), F.stddev("each").alias("deviation")).collect():
-            model.mean[languages.index(r.lang)], model.deviation[languages.index(r.lang)] = r["mean"], max(r.deviation or 0.0, 0.02)
+            model.mean[names.index(r.lang)], model.deviation[names.index(r.lang)] = r["mean"], max(r.deviation or 0.0, 0.02)
+        model.limits = tail_limits(with_likelihoods(kept.select("text"), model, "text", strength), tail)
     return model
 
 
+def tail_limits(rows: DataFrame, tail: float) -> np.ndarray:
+    """By class of length, the fit below which ``tail`` of ``rows`` (with likelihoods) lie."""
+    fits = rows.filter(F.col(f"{OWN}n") > 0)
+    low = F.percentile_approx(f"{OWN}fit", tail, 10_000)
+    found = fits.rollup(length_class(F.col(f"{OWN}n")).alias("class")).agg(F.count("*").alias("n"), low.alias("low")).collect()
+    lows = {r["class"]: r.low for r in found if r.n * tail >= 1}
+    return np.array([lows.get(k, lows.get(None, -np.inf)) for k in range(len(CLASSES) + 1)])
+
+
 def with_likelihoods(rows: DataFrame, model: TextModel, column: str, strength: int) -> DataFrame:
     """``rows`` with the number of sequences, log-likelihoods and fit of the text in ``column``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -143,13 +173,13 @@ def log_sum(values: list[Column]) -> Column:
 
 
 def fused(rows: DataFrame, model: TextModel, strong: float = 5.0, least: float = 0.5, fit: float = 30.0) -> DataFrame:
-    """``rows`` (with likelihoods, and OWN + declared, suffix, host, domain) with OWN + lang, posterior and rejected.
+    """``rows`` (with likelihoods, and OWN + declared, suffix, host, domain) with OWN + lang, posterior and reason (of a rejection, else null).
 
     ``strong`` is the weight, in rows, of the level above when a host or domain is smoothed.
     """
     k = range(len(model.languages))
     if not model.languages:
-        return rows.withColumns({f"{OWN}lang": F.lit(None).cast("string"), f"{OWN}posterior": F.lit(0.0), f"{OWN}rejected": F.lit(True)})
+        return rows.withColumns({f"{OWN}lang": F.lit(None).cast("string"), f"{OWN}posterior": F.lit(0.0), f"{OWN}reason": F.lit("unsure")})
     ll = [F.element_at(f"{OWN}ll", i + 1) for i in k]
     has = F.col(f"{OWN}n") > 0
     soft = [F.when(has, F.exp(ll[i] - log_sum(ll))).otherwise(F.lit(1 / len(ll))) for i in k]
@@ -174,7 +204,8 @@ def fused(rows: DataFrame, model: TextModel, strong: float = 5.0, least: float =
 
     for name in ("domain", "host"):
         of = grouped(name).select(f"{OWN}{name}_key", *[F.col(f"p{i}").alias(f"{OWN}{name}_{i}") for i in k])
-        out = out.join(of, F.col(f"{OWN}{name}") == F.col(f"{OWN}{name}_key"), "left").drop(f"{OWN}{name}_key")
+        spread = F.coalesce(F.col(f"{OWN}{name}"), F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(1024))))  # no name holds that sign
+        out = out.withColumn(f"{OWN}at", spread).join(of, F.col(f"{OWN}at") == F.col(f"{OWN}{name}_key"), "left").drop(f"{OWN}{name}_key", f"{OWN}at")
     weight = {name: reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{OWN}{name}_{i}"), F.lit(0.0)) for i in k]) for name in ("domain", "host")}
     prior = smoothed("host", smoothed("domain", [F.lit(x) for x in overall], weight["domain"]), weight["host"])
     zero = F.lit(0.0)
@@ -184,9 +215,10 @@ def fused(rows: DataFrame, model: TextModel, strong: float = 5.0, least: float =
     top = F.greatest(*joint) if len(joint) > 1 else joint[0]
     lang = reduce(lambda acc, i: F.when(joint[i] == top, F.lit(model.languages[i])).otherwise(acc), reversed(k), F.lit(None).cast("string"))
     out = out.withColumns({f"{OWN}lang": lang, f"{OWN}posterior": F.exp(top - log_sum(joint))})
-    rejected = ~has | (F.col(f"{OWN}posterior") < least) | (F.col(f"{OWN}fit") < -fit)
+    own = F.element_at(F.array(*[F.lit(float(x)) for x in (model.limits if model.limits is not None else [-np.inf] * (len(CLASSES) + 1))]), length_class(F.col(f"{OWN}n")) + 1)
+    reason = F.when(~has, "empty").when(F.col(f"{OWN}fit") < F.greatest(own, F.lit(-fit)), "misfit").when(~(F.col(f"{OWN}posterior") >= least), "unsure")
     helpers = [f"{OWN}{n}_{i}" for n in ("declared", "suffix", "domain", "host") for i in k] + [f"{OWN}j{i}" for i in k]
-    return out.withColumn(f"{OWN}rejected", F.coalesce(rejected, F.lit(True))).drop(*helpers)
+    return out.withColumn(f"{OWN}reason", reason).drop(*helpers)
 
 
 def visible(html: Column) -> Column:
@@ -194,8 +226,8 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
 
 
-def identify_pages(pages: DataFrame, model: TextModel, strength: int = 200, **options) -> DataFrame:
-    """(page_id, lang, posterior, declared, suffix, host, rejected): a row for each page (page_id, url, html)."""
+def identify_pages(pages: DataFrame, model: TextModel, strength: int = 200, tail: float = 0.001, **options) -> DataFrame:
+    """(page_id, lang, posterior, declared, suffix, host, rejected, reason): a row for each page (page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     none = lambda c: F.when(c != "", c)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
@@ -208,14 +240,17 @@ def identify_pages(pages: DataFrame, model: TextModel, strength: int = 200, **op
         visible(html).alias("seen"),
     )
     likely = stored(with_likelihoods(rows, model, "seen", strength).drop("seen"), "page-likelihoods")
-    out = fused(likely, model, **options)
-    return out.select("page_id", *[F.col(f"{OWN}{c}").alias(c) for c in ("lang", "posterior", "declared", "suffix", "host", "rejected")])
+    # pages hold menus and notices besides their text: their limits come from those that declare a language of the model
+    model = replace(model, limits=tail_limits(likely.filter(F.col(f"{OWN}declared").isin(model.languages)), tail))
+    out = fused(likely, model, **options).withColumn(f"{OWN}rejected", F.col(f"{OWN}reason").isNotNull())
+    return out.select("page_id", *[F.col(f"{OWN}{c}").alias(c) for c in ("lang", "posterior", "declared", "suffix", "host", "rejected", "reason")])
 
 
 def keep_identified(docs: DataFrame, model: TextModel, strength: int = 200, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected; ``lang`` counts as declared, ``source`` as host."""
+    """The rows of ``docs`` that aren't rejected, with the language found in ``lang``; what ``lang`` had counts as declared, ``source`` as host."""
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     rows = docs.withColumns({f"{OWN}declared": F.lower(text("lang")), f"{OWN}suffix": none, f"{OWN}host": text("source"), f"{OWN}domain": none})
     likely = stored(with_likelihoods(rows, model, "text", strength), "document-likelihoods")
-    return fused(likely, model, **options).filter(~F.col(f"{OWN}rejected")).select(*docs.columns)
+    kept = fused(likely, model, **options).filter(F.col(f"{OWN}reason").isNull())
+    return kept.select(*[F.col(f"{OWN}lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])

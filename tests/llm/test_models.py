@@ -174,7 +174,57 @@ def test_fusion_against_plain_numbers(spark, model):
 
     for i, r in enumerate(rows):
         lang, p = expected(r)
-        assert got[i]["_fathomwire_lang"] == lang and got[i]["_fathomwire_posterior"] == pytest.approx(p) and got[i]["_fathomwire_rejected"] == (r[0] is None)
+        assert got[i]["_fathomwire_lang"] == lang and got[i]["_fathomwire_posterior"] == pytest.approx(p) and got[i]["_fathomwire_reason"] == (None if r[0] else "empty")
+
+
+def plain_likelihoods(model, text):
+    """(sequences, log-likelihood a sequence by language) of a text, byte by byte."""
+    gold = 0x9E3779B97F4A7C15
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.encode().lower()]
+    codes = []
+    for a, b, c in zip(data, data[1:], data[2:]):  # noqa: B905
+        if not (a == b == 32 or b == c == 32):
+            codes.append(((a | b << 8 | c << 16) * gold & (1 << 64) - 1) >> 48)
+    return len(codes), [sum(float(row[c]) for c in codes) / max(1, len(codes)) for row in model.table]
+
+
+def test_likelihoods_against_plain_sums(spark, odd_docs, odd_rows, model):
+    got = {r.text: r for r in L.with_likelihoods(odd_docs.select("text"), model, "text", 200).collect()}
+    for text in {r[1] for r in odd_rows}:
+        n, each = plain_likelihoods(model, text or "")
+        assert got[text]["_fathomwire_n"] == n and got[text]["_fathomwire_ll"] == pytest.approx([v * min(n, 200) for v in each], abs=1e-2)
+
+
+def test_shares():
+    assert L.shares({"a": 10, "b": 1000, "c": 100_000}, 600) == {"a": 1.0, "b": 295 / 1000, "c": 295 / 100_000}
+    assert L.shares({"a": 10, "b": 20}, 600) == {"a": 1.0, "b": 1.0} and L.shares({}, 5) == {}
+
+
+@pytest.fixture(scope="module")
+def large_model(spark, sf_dir):
+    return L.train_text(spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet"))
+
+
+JUNK = [
+    "Всё смешалось в доме Облонских. Жена узнала, что муж был в связи с бывшею в их доме француженкой, и объявила мужу, что не может жить с ним в одном доме. " * 2,
+    "道可道，非常道。名可名，非常名。無名天地之始；有名萬物之母。故常無欲，以觀其妙；常有欲，以觀其徼。" * 3,
+    "for (int i = 0; i < n; ++i) { if (!buf[i]) { xQueueSend(q, &buf[i], 0); } else { vTaskDelay(pdMS_TO_TICKS(5)); } } #endif /* CFG_HW_X */ " * 3,
+    "Gżegżółka wzięła szczypcę i chrząszcz brzmi w trzcinie w Szczebrzeszynie; źdźbło trawy, ślimak, ćma i żółw wyszły późno. " * 3,
+    "".join(random.Random(7).choices("bcdfghjkmpqvwxz ", k=500)),
+]
+
+
+def test_junk_and_foreign_scripts_go_and_clean_rows_stay(spark, sf_dir, large_model):
+    """With a model of a table large enough to have a tail."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")
+    assert np.isfinite(large_model.limits).all()
+    junk = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(JUNK)], docs.schema)
+    kept = L.keep_identified(docs.unionByName(junk), large_model)
+    ids = {r.doc_id: r.lang for r in kept.select("doc_id", "lang").collect()}
+    assert not [i for i in ids if i < 0]
+    assert len(ids) >= 0.995 * docs.count()
+    right = [ids[r.doc_id] == r.lang for r in docs.select("doc_id", "lang").collect() if r.doc_id in ids]
+    assert np.mean(right) >= 0.98
 
 
 def test_language_odd_rows(spark, odd_docs, odd_rows, no_docs, model):
