@@ -123,6 +123,39 @@ def test_licenses(spark, odd_docs, odd_rows, no_docs):
     assert sorted(str(r.doc_id) for r in license_scan(odd_docs).collect()) == sorted(str(r[0]) for r in odd_rows)
 
 
+INSTALLED = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+
+
+def test_whole_licences_and_licences_in_longer_files(spark, tmp_path):
+    """Against the texts that the operating system installs, whole, wrapped otherwise, and inside other files; and the same in SQL."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    texts = {name: (folder / file).read_text(encoding="utf-8") for name, file in INSTALLED.items() if (folder / file).exists()}
+    if not texts:
+        pytest.skip("no licence texts are installed")
+    rows, want = [], {}
+    for i, (name, text) in enumerate(texts.items()):
+        want[3 * i], want[3 * i + 1], want[3 * i + 2] = (name, name), (name, name), (None, name)
+        rows += [(3 * i, text), (3 * i + 1, " ".join(text.split()) if "opyright" not in text else text.replace("\n\n", "\n \n\n")), (3 * i + 2, f"Some words ahead.\n{text}\nSome words behind.")]
+    mit = KNOWN[0][1]
+    rows += [(100, f"/*\n * Copyright (c) 2020 Someone\n *\n * {mit.replace('. ', '.' + chr(10) + ' * ')}\n */\nint main() {{}}"), (101, mit.replace("without limitation", "with limitation") + " and more"), (102, None)]
+    want |= {100: (None, "MIT"), 101: (None, ""), 102: (None, "")}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan(df)
+    assert {r.doc_id: (r.license, r.contained) for r in got.collect()} == want
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(license_sql()).fetchall(), key=str)
+
+
+def test_catalogue_of_more_texts(spark):
+    own = "This licence lets you do as you like, " + "with care " * 20 + "and no warranty."
+    df = spark.createDataFrame([(1, own.upper()), (2, f"x\n{own}\ny"), (3, "x")], "doc_id long, text string")
+    assert [(r.license, r.contained) for r in license_scan(df, {"Own-1.0": own}).orderBy("doc_id").collect()] == [("Own-1.0", "Own-1.0"), (None, "Own-1.0"), (None, "")]
+
+
 def test_license_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     got = sorted(map(tuple, license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()), key=str)
