@@ -10,7 +10,7 @@ the threshold is the lowest p-value at which the estimated share of others among
 below ``false_share``, and never below ``floor``.
 
 Scale: two scans of the text, no shuffle of texts.  The first scan makes a histogram of at most 4 encodings x 31 lengths x 2 x 100 bins;
-the second has all spans of a document in its own row.
+the second has all spans of a document in its own row, and finds and merges them in time that grows with their number.
 
 Edge cases: a null or empty text has no spans, and the digest of the empty string; offsets count code points; repeated rows
 each get a row; an empty table gives an empty result; extra columns are not read (``redact`` keeps them).
@@ -144,21 +144,60 @@ def thresholds(docs: DataFrame, false_share: float, floor: float) -> dict[str, f
     return out
 
 
+def scanned(rows: Column, state: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]], run: int = 256) -> Column:
+    """What ``step`` (state, row) -> (next state, output) puts out for each row of an array, in order.
+
+    An array that grows is copied with each row, so runs of ``run`` rows are gathered first: the work grows with the rows, not with their square.
+    """
+    empty = lambda kind: F.expr(f"CAST(array() AS {kind})")
+    many, one = f"array<array<{out_type}>>", f"array<{out_type}>"
+
+    def inner(acc: Column, row: Column) -> Column:
+        after, out = step(acc["state"], row)
+        return F.struct(after.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(acc["state"].alias("state"), empty(one).alias("out")), inner)
+        return let(got, lambda g: F.struct(g["state"].alias("state"), F.array_append(acc["out"], g["out"]).alias("out")))
+
+    def cut(r: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / run).cast("int")), lambda k: F.slice(r, k * run + 1, run))
+        whole = F.aggregate(parts, F.struct(state.alias("state"), empty(many).alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(r) > 0, whole).otherwise(empty(one))
+
+    return let(rows, cut)
+
+
+FOUND = "struct<start:int,end:int,part:string>"
+
+
 def found_by(text: Column, pattern: str, group: int) -> Column:
     """array<struct(start, end, part)> of the leftmost matches that do not overlap; ``part`` is a group of each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,part:string>>)").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.char_length(m["gap"])
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        begin = at + F.char_length(m["gap"])
         end = begin + F.char_length(m["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), m["part"].alias("part"))).alias("out"))
+        return end, F.struct(begin.alias("start"), end.alias("end"), m["part"].alias("part"))
 
     rows = F.zip_with(F.zip_with(found, parts, lambda m, p: F.struct(m.alias("match"), p.alias("part"))), F.slice(gaps, 1, F.size(found)), lambda x, g: F.struct(x["match"].alias("match"), x["part"].alias("part"), g.alias("gap")))
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,part:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(pattern), scanned(rows, F.lit(0), FOUND, step)).otherwise(F.expr(f"CAST(array() AS array<{FOUND}>)"))
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def merged(base: Column, noisy: Column) -> Column:
+    """All base spans and those noisy ones that lie in no base span, sorted."""
+
+    def step(last: Column, s: Column) -> tuple[Column, Column]:  # the farthest end of the base spans so far
+        is_base = s["kind"] < len(BASE)
+        return F.when(is_base, F.greatest(last, s["end"])).otherwise(last), F.struct(s.alias("span"), (is_base | (s["end"] > last)).alias("kept"))
+
+    every = F.array_sort(F.concat(base, noisy))
+    return F.when(F.size(noisy) == 0, F.array_sort(base)).otherwise(F.transform(F.filter(scanned(every, F.lit(0), f"struct<span:{SPAN},kept:boolean>", step), lambda x: x["kept"]), lambda x: x["span"]))
 
 
 def with_spans(docs: DataFrame, false_share: float = 0.05, floor: float = 0.001) -> DataFrame:
@@ -174,8 +213,7 @@ def with_spans(docs: DataFrame, false_share: float = 0.05, floor: float = 0.001)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None).cast("map<string,double>")
     noisy = F.filter(f"{OWN}random", lambda m: let(randomness(m["part"]), lambda r: r["p"] >= F.coalesce(F.element_at(limit, stratum_of(m["part"], r)), F.lit(2.0))))
     own = raw.withColumn(f"{OWN}base", base).withColumn(f"{OWN}noisy", spans(noisy, "random"))
-    new = F.filter(f"{OWN}noisy", lambda m: ~F.exists(f"{OWN}base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return own.withColumn(SPANS, F.array_sort(F.concat(f"{OWN}base", new))).drop(f"{OWN}base", f"{OWN}noisy", *[f"{OWN}{k}" for k in KINDS])
+    return own.withColumn(SPANS, merged(F.col(f"{OWN}base"), F.col(f"{OWN}noisy"))).drop(f"{OWN}base", f"{OWN}noisy", *[f"{OWN}{k}" for k in KINDS])
 
 
 def as_text(spans: Column) -> Column:

@@ -150,6 +150,43 @@ def test_whole_licences_and_licences_in_longer_files(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(license_sql()).fetchall(), key=str)
 
 
+def test_a_text_of_many_matches(spark):
+    """12,000 matches in one text, against Python, in time that grows with their number."""
+    rng = random.Random(5)
+    parts = [f"password={rng.randrange(10**9):09d} ", "AKIA" + "B" * 16 + " ", "0123456789abcdef" * 2 + " ", "word "]
+    text = "".join(rng.choice(parts) for _ in range(16_000))
+    r = secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = base_spans(text)
+    assert r.n_assign + r.n_access + r.n_hex == len(spans) > 11_000
+    assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
+
+
+def plain_thresholds(results, false_share, floor):
+    """stratum -> the lowest p-value that is reported, from (stratum, p) of all candidates."""
+    out = {}
+    for stratum in {s for s, _ in results}:
+        bins = [min(99, int(p * 100)) for s, p in results if s == stratum]
+        noise = 2 * (sum(b >= 50 for b in bins) + 1)
+        for b in range(100):
+            reported = sum(x >= b for x in bins)
+            if reported and max(0.0, reported - noise * (1 - b / 100)) / reported <= false_share:
+                out[stratum] = max(floor, b / 100)
+                break
+    return out
+
+
+def test_thresholds_against_plain_counts(spark):
+    rng = random.Random(9)
+    every = tokens(rng, 80) + [f"item_number_{i:04d}_of_a_long_list" for i in range(200)]
+    docs = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(every)], "doc_id long, text string")
+    found = [m[0] for t in every for m in re.finditer(CANDIDATE, f"a {t} b")]
+    results = []
+    for t in found:
+        stratum, p = plain_randomness(t)
+        results.append((stratum if re.search("[0-9]", t) else f"{stratum}:no digit", p))
+    assert thresholds(docs, 0.05, 0.001) == pytest.approx(plain_thresholds(results, 0.05, 0.001))
+
+
 def test_catalogue_of_more_texts(spark):
     own = "This licence lets you do as you like, " + "with care " * 20 + "and no warranty."
     df = spark.createDataFrame([(1, own.upper()), (2, f"x\n{own}\ny"), (3, "x")], "doc_id long, text string")
