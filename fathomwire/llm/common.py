@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the columns that operators on documents know, with all others in one; what puts them back), so that no other name meets a helper's."""
+    known = [c for c in docs.columns if c in ("doc_id", "text", "lang", "source", "n_chars")]
+    rest = [c for c in docs.columns if c not in known]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_fathomwire_rest")] if rest else []
+
+    def back(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(c) if c in known else F.col("_fathomwire_rest").getField(c).alias(c) for c in docs.columns])
+
+    return docs.select(*known, *packed), back
+
+
 def empty_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, stored, text_slices
+from .common import GOLD, apart, stored, text_slices
 
 BITS = 16
 OWN = "_fathomwire_"
@@ -248,9 +248,10 @@ def identify_pages(pages: DataFrame, model: TextModel, strength: int = 200, tail
 
 def keep_identified(docs: DataFrame, model: TextModel, strength: int = 200, **options) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with the language found in ``lang``; what ``lang`` had counts as declared, ``source`` as host."""
+    docs, back = apart(docs)
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     rows = docs.withColumns({f"{OWN}declared": F.lower(text("lang")), f"{OWN}suffix": none, f"{OWN}host": text("source"), f"{OWN}domain": none})
     likely = stored(with_likelihoods(rows, model, "text", strength), "document-likelihoods")
     kept = fused(likely, model, **options).filter(F.col(f"{OWN}reason").isNull())
-    return kept.select(*[F.col(f"{OWN}lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    return back(kept.withColumn("lang", F.col(f"{OWN}lang")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, counted_shingles, empty_text, mix, stored, text_slices
+from .common import GOLD, apart, counted_shingles, empty_text, mix, stored, text_slices
 
 # The cumulative probabilities of a Poisson count of mean 1.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(17)])
@@ -362,6 +362,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands:
 
 def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, block: int = 1024, part_bytes: int = 32 << 20) -> DataFrame:
     """One row of ``docs`` for each class: of the smallest doc_id (null last), of rows that share it the one of the smallest digest."""
+    docs, back = apart(docs)
     sign, classed = classes(docs, least, width, bands, rows, block, part_bytes)
     kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select(F.col("k.first").alias("_fathomwire_first"), F.col("k.hex").alias("_fathomwire_hex")), "kept")
     key = F.md5(empty_text())
@@ -369,5 +370,5 @@ def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int =
     found = docs.join(kept, same, "left_semi")
     again = sign.groupBy("doc_id", "digest").count().filter("count > 1")
     if again.isEmpty():
-        return found
-    return found.withColumn("_fathomwire_key", key).dropDuplicates(["doc_id", "_fathomwire_key"]).drop("_fathomwire_key")
+        return back(found)
+    return back(found.withColumn("_fathomwire_key", key).dropDuplicates(["doc_id", "_fathomwire_key"]))

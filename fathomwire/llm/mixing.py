@@ -9,7 +9,7 @@ of a reduction tree, until a source has one, which is rounded by its own probabi
 miss its target by less than one document.
 
 Scale: texts are read once, for their sizes, and never shuffle.  A bucket holds about ``fan_in`` rows, so a hot source is many
-buckets.  Levels grow with the logarithm of the rows.  Seeds come from ids, so reruns agree.
+buckets, and so are rows without an id or alike in everything.  Levels grow with the logarithm of the rows.  Seeds come from ids, so reruns agree.
 
 Edge cases: a null text has size 0 and takes 0; a null source is a source, the last; rows alike in doc_id, source
 and size are told apart by a number; a source of size 0 has target 0; an empty table gives an empty result.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import apart, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+ALIKE = 4096  # rows alike that one task makes or numbers at a time
 
 
 def numbered(df: DataFrame, *keys) -> DataFrame:
     """``df`` with ``place`` (from 0) in the order of ``keys``: ranked inside ranges, then shifted by the ranges before."""
-    spark = df.sparkSession
-    parts = stored(df.repartitionByRange(shuffle_partitions(spark), *keys).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = stored(df.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranges")
     base, total = [], 0
     for r in sorted(parts.groupBy("part").count().collect()):  # a row for each range
         base.append((r[0], total))
@@ -127,8 +128,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         ),
         "targets",
     )
-    each = rows.join(targets, F.col("source").eqNullSafe(F.col("own"))).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike").cast("int"))))
-    bucket = F.pmod(F.xxhash64("doc_id", "nth", F.lit(seed)), F.col("buckets"))
+    each = rows.join(targets, F.col("source").eqNullSafe(F.col("own"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / ALIKE))))
+    if (rows.agg(F.max("alike")).first()[0] or 0) > ALIKE:  # one row would become more than a task should make
+        each = each.repartition("doc_id", "source", "size", "turn")
+    first = F.col("turn") * ALIKE
+    each = each.withColumn("nth", F.explode(F.sequence(first + 1, F.least(first + ALIKE, F.col("alike"))))).withColumn("nth", F.col("nth").cast("int"))
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(seed)), F.col("buckets"))
     level = stored(each.select("doc_id", "source", "size", "source_size", "target", "copies", F.when((F.col("size") > 0) & (F.col("chance") > 0), F.col("chance")).otherwise(0.0).alias("chance"), "nth", bucket.alias("bucket")), "level")
     done = [level.filter("chance = 0")]
     open_rows, depth = level.filter("chance > 0"), 0
@@ -148,15 +153,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "nth")
 
 
+def numbered_alike(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``_fathomwire_nth``, from 1 among those of a key, however many: counted in small parts, and shifted by the parts before."""
+    parts = stored(rows.withColumn("_fathomwire_part", F.floor(F.monotonically_increasing_id() / ALIKE)), "parts")
+    every = [*key, "_fathomwire_part"]
+    before = Window.partitionBy(*key).orderBy("_fathomwire_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy(*every).agg(F.count("*").alias("n")).withColumn("_fathomwire_shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    shift = shift.select(*[F.col(c).alias(f"{c}_own") for c in every], "_fathomwire_shift")
+    placed = parts.withColumn("_fathomwire_place", F.row_number().over(Window.partitionBy(*every).orderBy(F.xxhash64("text"))))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_own")) for c in every]
+    out = placed.join(shift, reduce(lambda a, b: a & b, same))
+    return out.withColumn("_fathomwire_nth", F.col("_fathomwire_place") + F.col("_fathomwire_shift")).drop("_fathomwire_part", "_fathomwire_place", "_fathomwire_shift", *[f"{c}_own" for c in every])
+
+
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs``, each row as often as the mix takes it; rows alike in doc_id, source and size stand for one another."""
+    docs, back = apart(docs)
     taken = stored(mix(docs, **options).select("doc_id", "source", "size", "nth", "copies"), "taken")
     key = {"_fathomwire_id": F.col("doc_id").cast("long"), "_fathomwire_source": F.col("source").cast("string"), "_fathomwire_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")}
     rows = docs.withColumns(key)
-    if taken.filter("nth > 1").isEmpty():
+    most = taken.agg(F.max("nth")).first()[0] or 0
+    if most <= 1:
         rows = rows.withColumn("_fathomwire_nth", F.lit(1))
-    else:
+    elif most <= ALIKE:
         rows = rows.withColumn("_fathomwire_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    else:
+        rows = numbered_alike(rows, list(key))
     own = taken.filter("copies > 0").select(*[F.col(c).alias(f"_taken_{c}") for c in taken.columns])
     same = F.col("_fathomwire_id").eqNullSafe(F.col("_taken_doc_id")) & F.col("_fathomwire_source").eqNullSafe(F.col("_taken_source")) & (F.col("_fathomwire_size") == F.col("_taken_size")) & (F.col("_fathomwire_nth") == F.col("_taken_nth"))
-    return rows.join(own, same).withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_taken_copies"))).select(*docs.columns)
+    return back(rows.join(own, same).withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_taken_copies"))))

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_text
+from .common import apart, empty_text
 
 # The base patterns, in the order in which kinds are listed.
 BASE = {
@@ -235,6 +235,7 @@ def secret_spans(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each secret's characters replaced by one ``mark``; ``n_chars`` follows the text where there is one."""
+    docs, back = apart(docs)
     rows = with_spans(docs, **options)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -246,4 +247,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     text = F.when(F.size(SPANS) > 0, clean).otherwise(F.col("text"))
     changed = rows.withColumn(f"{OWN}text", text)
     columns = [F.col(f"{OWN}text").alias("text") if c == "text" else F.when(F.size(SPANS) > 0, F.char_length(f"{OWN}text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return changed.select(*columns)
+    return back(changed.select(*columns))

@@ -16,6 +16,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_text, shuffle_partitions, stored
+from .common import empty_text, stored
 from .tokens import encoder, texts_in
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
+RANGE_BYTES = 32 << 20  # of ids in a range of documents
 BLOCKS = (
     "part int, block int, start_in_part long, n_tokens long, doc_ids array<long>, doc_tokens array<int>,"
     " payload binary, marks binary"
@@ -227,7 +229,8 @@ def write_token_store(
             yield close()
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.xxhash64("ids")]
-    ranged = tokens.repartitionByRange(partitions or shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    ranges = max(spark.sparkContext.defaultParallelism, math.ceil(width * sum(n for _, n in counts) / RANGE_BYTES))
+    ranged = tokens.repartitionByRange(partitions or ranges, *keys).sortWithinPartitions(*keys)
     ranged.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(every, max_bits, end_id)], "every int, max_bits int, end_id int").coalesce(1).write.parquet(f"{path}/header")
 

@@ -75,3 +75,22 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == sum(r.copies for r in got)
     assert mix(no_docs).count() == 0 and repeat_by_mix(no_docs).count() == 0
+
+
+def test_many_rows_without_id_and_alike(spark, monkeypatch):
+    """A third of all rows alike, a third without an id: no bucket or part of them is large, and no row is lost."""
+    monkeypatch.setattr("fathomwire.llm.mixing.ALIKE", 100)
+    rng = random.Random(2)
+    rows = [(None, " ".join(["w"] * rng.randint(1, 60)), "a", "x") for _ in range(1000)] + [(7, "one two three", "b", "x")] * 1000
+    rows += [(100 + i, " ".join(["w"] * rng.randint(0, 60)), "c", "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _taken_size string")
+    got = mix(df, fan_in=50)
+    counts = {r.source: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"a": 1000, "b": 1000, "c": 1000}
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("copies").alias("copies")).collect()
+    assert all(abs(r.taken - r.target) <= 60 for r in sums)
+    again = repeat_by_mix(df, fan_in=50)
+    assert again.columns == df.columns and {r.source: r["n"] for r in again.groupBy("source").agg(F.count("*").alias("n")).collect()} == {r.source: r.copies for r in sums}
+    assert {(r.doc_id, r.text, r.source) for r in again.collect()} <= {r[:3] for r in rows}
+    buckets = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string").filter("doc_id IS NULL")
+    assert buckets.groupBy(F.pmod(F.xxhash64("doc_id", F.size(F.split("text", " ")).cast("long"), F.lit(1), F.lit(1)), F.lit(20))).count().count() > 10

@@ -35,9 +35,11 @@ def test_stages(spark, sf_dir):
     packed = tables[5].collect()
     id_at, text_at, source_at, n_at = (docs.columns.index(c) for c in ("doc_id", "text", "source", "n_chars"))
 
-    # language: only rows without a likely language go
-    assert set(identified) <= set(start)
-    assert all(len(re.sub(r"[^a-zA-Z\u0080-\U0010ffff]", "", r[text_at])) < 3 for r in set(start) - set(identified))
+    # language: only rows without a likely language go, and the others keep all but the language found
+    lang_at = docs.columns.index("lang")
+    bare = lambda rows: {r[:lang_at] + r[lang_at + 1 :] for r in rows}
+    assert bare(identified) <= bare(start) and {r[lang_at] for r in identified} <= {"de", "en", "es", "fr"}
+    assert all(len(re.sub(r"[^a-zA-Z\u0080-\U0010ffff]", "", r[text_at])) < 3 for r in start if r[id_at] not in {x[id_at] for x in identified})
 
     # near duplicates: the smallest id of each class
     expected = {c for _, c, _ in brute([(r[id_at], r[text_at]) for r in identified])}
@@ -86,3 +88,17 @@ def test_stages(spark, sf_dir):
             at += length
         assert at <= 2048
     assert len(rows) <= 1.02 * sum(p.length for p in packed) / 2048 + 1
+
+
+def test_columns_that_clash_with_helpers(spark, sf_dir):
+    """Columns named as the operators name their own: each stage keeps them as they are."""
+    names = ["_fathomwire_text", "_fathomwire_id", "_fathomwire_nth", "_fathomwire_spans", "_fathomwire_lang", "_fathomwire_n", "_fathomwire_first", "_fathomwire_rest", "_taken_size", "_taken_copies", "key", "node", "text.x"]
+    rows = [(i, f"The words of document {i} and then of the house and of the garden, number {i * i}.", "en", "s", 9, *[f"{n}{i}" for n in names]) for i in range(40)]
+    now = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{n}` string" for n in names]]))
+    columns = now.columns
+    for name, stage in C.STAGES[:-1]:
+        now = C.stored(stage(spark, now, sf_dir), name)
+        assert now.columns == columns
+        got = now.collect()
+        assert got and all(r[5:] == tuple(f"{n}{r.doc_id}" for n in names) for r in got)
+    assert C.STAGES[-1][1](spark, now, sf_dir).count() == len(got)
