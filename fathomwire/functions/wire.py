@@ -1,4 +1,8 @@
-"""Wire primitives as Catalyst expressions: all stay inside generated JVM code."""
+"""Wire primitives as Catalyst expressions.
+
+They stay in the JVM; those that use ``let`` (varints, fixed numbers, floats) are evaluated outside of generated code, as Spark does with all
+functions over arrays.
+"""
 
 from __future__ import annotations
 
@@ -125,6 +129,11 @@ def canonical_float(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(float("nan")).cast("double")).when(value == 0, F.lit(0.0)).otherwise(value.cast("double"))
 
 
+def is_negative_zero(value: Column) -> Column:
+    """Whether a floating number is zero with a sign, which no comparison tells."""
+    return (value == 0) & value.cast("double").cast("string").startswith("-")
+
+
 def _ieee(value: Column, exponent_bits: int, fraction_bits: int) -> Column:
     """IEEE 754 bits by exact scaling: powers of two multiply without rounding."""
     bias = (1 << (exponent_bits - 1)) - 1

@@ -106,6 +106,17 @@ def orders_floats_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(rows, schema, "o_orderkey").select("o_orderkey", F.hex("payload").alias("hex"))
 
 
+@query(
+    f"""SELECT CASE WHEN isnan(v) THEN 'nan' WHEN v = 0 AND signbit(v) THEN 'negative zero' WHEN isinf(v) THEN 'infinite' ELSE 'plain' END AS kind, count(*) AS n
+    FROM (SELECT {_odd_float('o_totalprice')} AS v FROM orders) GROUP BY 1"""
+)
+def orders_float_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats that a record writes otherwise than they are, and others."""
+    v = F.col("v")
+    kind = F.when(F.isnan(v), "nan").when(wire.is_negative_zero(v), "negative zero").when(F.abs(v) == float("inf"), "infinite").otherwise("plain")
+    return table(spark, sf_dir, "orders").select(F.expr(_odd_float("o_totalprice")).alias("v")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 _RE, _IM = _odd_float("o_totalprice"), "CAST(o_custkey AS DOUBLE)"
 
 

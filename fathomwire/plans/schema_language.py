@@ -14,12 +14,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .types import SPARK_TYPE, Shape, members
+from .types import HIGHEST, SPARK_TYPE, Shape, members
 
 TOKEN = re.compile(r'\s*(?:(?P<doc>///[^\n]*)|(?P<skip>//[^\n]*)|(?P<text>"(?:[^"\\\n]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_]\w*)|(?P<sign>[{}\[\]()=;,.*@]))')
 MODIFIERS = ("required", "repeated", "optional", "deprecated")
 SYNONYMS = {"int": "int64", "uint": "uint64", "byte": "uint8"}
-HIGHEST, RESERVED = 536_870_911, range(19_000, 20_000)
+RESERVED = range(19_000, 20_000)
 
 
 @dataclass

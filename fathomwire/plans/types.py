@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+HIGHEST = 536_870_911  # fixed value: the largest field number
+
 # Wire types of the format.
 VARINT, FIXED64, BYTES, FIXED32, SVARINT = 0, 1, 2, 3, 4
 
@@ -185,8 +187,8 @@ def members(struct: T.StructType) -> tuple[Member, ...]:
         meta = f.metadata or {}
         found.append(Member(f.name, int(meta.get("field_number", i + 1)), shape_of(f.dataType, meta), bool(meta.get("required"))))
     numbers = [m.number for m in found]
-    if len(set(numbers)) < len(numbers) or min(numbers, default=1) < 1:
-        raise ValueError("field numbers must be positive and different")
+    if len(set(numbers)) < len(numbers) or min(numbers, default=1) < 1 or max(numbers, default=1) > HIGHEST:
+        raise ValueError(f"field numbers must be different and from 1 to {HIGHEST}")
     return tuple(sorted(found, key=lambda m: m.number))
 
 

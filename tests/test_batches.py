@@ -1,0 +1,128 @@
+"""Whole-batch encoding and decoding against the expressions and the decoder of single rows."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fathomwire.operators import decode as D
+from fathomwire.operators.encode import to_wire
+from fathomwire.operators.encode_batches import encode_batch, is_flat, with_wire
+from fathomwire.plans.types import DEFAULT, STRICT, Limits, Options, member, record
+
+FLAT = T.StructType(
+    [
+        member("flag", "bool", 1),
+        member("small", "int8", 2),
+        member("u8", "uint8", 3, "uint8"),
+        member("i16", "int16", 4),
+        member("i32", "int32", 5),
+        member("i64", "int64", 6),
+        member("u32", "uint32", 7, "uint32"),
+        member("f32", "float32", 15),
+        member("f64", "float64", 16),
+        member("text", "string", 300),
+        member("data", "bytes", 70_000),
+        member("rank", "int32", 8, pointer=True),
+    ]
+)
+
+
+def odd_rows(rng, n):
+    pick = lambda *xs: rng.choice(xs)
+    out = []
+    for _ in range(n):
+        out.append(
+            (
+                pick(True, False, None),
+                pick(0, -128, 127, None),
+                pick(0, 255, 7, None),
+                pick(0, -32768, 32767),
+                pick(0, -(2**31), 2**31 - 1, 63, -64, 64),
+                pick(0, -(2**63), 2**63 - 1, 2**40, None),
+                pick(0, 2**32 - 1, 128, 127),
+                pick(0.0, -0.0, math.nan, math.inf, -1.5, 1e-45),
+                pick(0.0, -0.0, math.nan, -math.inf, 5e-324, 0.1, None),
+                pick("", "a", "é日🎉", "x" * 300, None),
+                pick(b"", b"\x00", bytes(range(256)), None),
+                pick(None, 0, 1, -5),
+            )
+        )
+    return out
+
+
+@pytest.mark.parametrize("options", [DEFAULT, Options(omit_empty=False)])
+def test_encoder_against_expressions(spark, options):
+    df = spark.createDataFrame(odd_rows(random.Random(1), 400), FLAT).withColumn("i", F.monotonically_increasing_id()).cache()
+    assert is_flat(FLAT)
+    one = {r.i: bytes(r.p) for r in df.select("i", to_wire(F.struct(*FLAT.fieldNames()), FLAT, options).alias("p")).collect()}
+    two = {r.i: bytes(r.payload) for r in with_wire(df, FLAT, "payload", ("i",), options).collect()}
+    assert one == two
+    nested = T.StructType([member("tags", "array<string>", 1)])
+    assert not is_flat(nested)
+    got = with_wire(spark.createDataFrame([(["a", "b"],)], nested), nested).first()
+    assert bytes(got.payload) == b"\x14\x02\x01a\x01b\x00"
+
+
+def test_encoder_keeps_to_the_limit(spark):
+    schema = T.StructType([member("text", "string", 1)])
+    big = {"text": pa.array(["x" * 100])}
+    members = record(schema).fields
+    assert len(encode_batch(members, big, 1)[0].as_py()) == 103
+    with pytest.raises(ValueError, match="too large"):
+        encode_batch(members, big, 1, Options(Limits(message=50)))
+
+
+PLAIN = T.StructType([f for f in FLAT.fields if f.name not in ("small", "u8", "rank")])
+
+
+def damaged(rng, data):
+    out = bytearray(data)
+    for _ in range(rng.choice([0, 1, 1, 2])):
+        way = rng.randrange(5)
+        at = rng.randrange(len(out) + 1)
+        if way == 0:
+            del out[at:]
+        elif way == 1 and out:
+            out[min(at, len(out) - 1)] = rng.choice([0, 1, 127, 128, 255, rng.randrange(256)])
+        elif way == 2:
+            out[at:at] = bytes([rng.randrange(256)])
+        elif way == 3:
+            out += b"\x00"
+        elif out:
+            out[at : at + 1] = b"\xff" * rng.choice([1, 5, 11])
+    return bytes(out)
+
+
+@pytest.mark.parametrize("options", [DEFAULT, STRICT, Options(Limits(message=120, string=50, binary=40)), Options(validate_utf8=False)])
+def test_decoder_of_batches_against_that_of_rows(monkeypatch, options):
+    """Damage of every kind: the same records, codes, places, fields and ends, whichever decoder settles a row."""
+    rng = random.Random(3)
+    names = PLAIN.fieldNames()
+    rows = odd_rows(rng, 3000)
+    columns = {f.name: pa.array([r[FLAT.fieldNames().index(f.name)] for r in rows], D.to_arrow_type(f.dataType)) for f in PLAIN.fields}
+    whole = encode_batch(record(PLAIN).fields, columns, len(rows), Options(Limits(message=0))).to_pylist()
+    data = pa.array([None if rng.random() < 0.01 else damaged(rng, x) for x in whole], pa.binary())
+    fast = D.batch_decoder(PLAIN, options, "PERMISSIVE")(data)
+    seen = []
+    monkeypatch.setattr(D.ColumnDecoder, "decode", lambda *_: seen.append(1))
+    init = D.ColumnDecoder.__init__
+    monkeypatch.setattr(D.ColumnDecoder, "__init__", lambda self, *a: (init(self, *a), setattr(self, "fits", False))[0])
+    slow = D.batch_decoder(PLAIN, options, "PERMISSIVE")(data)
+    assert not seen and set(fast.field("error").to_pylist()) > {None, "unexpected_eof"}
+    for name in ("error", "error_at", "error_field", "consumed"):
+        assert fast.field(name).to_pylist() == slow.field(name).to_pylist(), name
+    for a, b in zip(fast.field("record").to_pylist(), slow.field("record").to_pylist(), strict=True):
+        assert repr(a) == repr(b)
+    assert names == [f.name for f in fast.field("record").type]
+
+
+def test_failfast_names_the_fault():
+    schema = T.StructType([member("a", "int32", 1), member("b", "string", 2)])
+    with pytest.raises(D.Malformed, match="unexpected_eof at byte 4 in b"):
+        D.batch_decoder(schema, STRICT, "FAILFAST")(pa.array([b"\x18\x02\x24\x05xy"], pa.binary()))
