@@ -233,18 +233,37 @@ def secret_spans(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", *[c.alias(n) for n, c in count.items() if n != "n_random"], F.sha2(base, 256).alias("base_sha256"), as_text(F.col(SPANS)).alias("spans"), count["n_random"].alias("n_random"))
 
 
+def without(text: Column, spans: Column, mark: str, run: int = 256) -> Column:
+    """``text`` with each of the sorted ``spans`` replaced by ``mark``, and those that overlap by one.
+
+    The text is cut behind runs of spans first, so that a span is sought in a short piece and not in the whole text.
+    """
+    none = F.expr("CAST(array() AS array<string>)")
+
+    def of_run(at: Column, part: Column) -> tuple[Column, Column]:
+        until = F.greatest(at, F.array_max(F.transform(part, lambda s: s["end"])))
+
+        def of_piece(piece: Column) -> Column:
+            def of_span(acc: Column, s: Column) -> Column:
+                own = F.when(s["start"] >= acc["begin"], F.concat(F.substr(piece, acc["begin"] - at + 1, s["start"] - acc["begin"]), F.lit(mark))).otherwise(F.lit(""))
+                return F.struct(F.greatest(acc["begin"], s["end"]).alias("begin"), F.array_append(acc["out"], own).alias("out"))
+
+            return F.aggregate(part, F.struct(at.alias("begin"), none.alias("out")), of_span, lambda acc: F.array_join(acc["out"], ""))
+
+        return until, let(F.substr(text, at + 1, until - at), of_piece)
+
+    def whole(s: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / run).cast("int")), lambda k: F.slice(s, k * run + 1, run))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        rest = F.substr(text, last + 1, F.greatest(F.char_length(text) - last, F.lit(0)))
+        return F.array_join(F.concat(scanned(runs, F.lit(0), "string", of_run), F.array(rest)), "")
+
+    return F.when(F.size(spans) > 0, let(spans, whole)).otherwise(text)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each secret's characters replaced by one ``mark``; ``n_chars`` follows the text where there is one."""
     docs, back = apart(docs)
-    rows = with_spans(docs, **options)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= acc["at"], F.concat(F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between).alias("out"))
-
-    clean = F.aggregate(SPANS, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.char_length("text") - acc["at"], F.lit(0)))))
-    text = F.when(F.size(SPANS) > 0, clean).otherwise(F.col("text"))
-    changed = rows.withColumn(f"{OWN}text", text)
+    changed = with_spans(docs, **options).withColumn(f"{OWN}text", without(F.col("text"), F.col(SPANS), mark))
     columns = [F.col(f"{OWN}text").alias("text") if c == "text" else F.when(F.size(SPANS) > 0, F.char_length(f"{OWN}text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return back(changed.select(*columns))

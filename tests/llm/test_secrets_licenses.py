@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomwire.llm.licenses import KNOWN, license_scan, license_sql
-from fathomwire.llm.secret_scan import ALPHABETS, CANDIDATE, KINDS, randomness, redact, secret_spans, thresholds, upper_tail
+from fathomwire.llm.secret_scan import ALPHABETS, CANDIDATE, KINDS, randomness, redact, secret_spans, thresholds, upper_tail, without
 
 WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in WORDS) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -161,6 +161,25 @@ def test_a_text_of_many_matches(spark):
     assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abé🎉 ") for _ in range(5000))
+    many = sorted((a, 0, a + rng.randint(1, 40)) for a in rng.sample(range(4950), 900))
+    rows = [(text, many), (text, many[:1]), (text, []), ("ab", [(0, 0, 2)]), ("", []), (None, [])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = [r.t for r in df.select(without(F.col("text"), F.col("spans"), "[X]", run=16).alias("t")).collect()]
+
+    def plain(text, spans):
+        out, at = "", 0
+        for begin, _, end in spans:
+            if begin >= at:
+                out += text[at:begin] + "[X]"
+            at = max(at, end)
+        return out + text[at:]
+
+    assert got == [t if not s else plain(t, s) for t, s in rows]
+
+
 def plain_thresholds(results, false_share, floor):
     """stratum -> the lowest p-value that is reported, from (stratum, p) of all candidates."""
     out = {}
