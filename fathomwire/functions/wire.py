@@ -57,10 +57,8 @@ def from_bits(bits: Column) -> Column:
 def uvarint_size(bits: Column) -> Column:
     """Bytes of a LEB128 number, 1 to 10; a negative long counts as unsigned."""
     v = bits.cast("long")
-    out = F.lit(9)
-    for n in range(8, 0, -1):
-        out = F.when(v < (1 << 7 * n), F.lit(n)).otherwise(out)
-    return F.when(v < 0, F.lit(10)).otherwise(out)
+    # a sum without branches: generated code works ``v`` out once
+    return reduce(lambda n, k: n + (v >= (1 << 7 * k)).cast("int"), range(1, 9), F.lit(1)) + (v < 0).cast("int") * 9
 
 
 def svarint_size(value: Column) -> Column:
