@@ -295,3 +295,65 @@ def nation_frames_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([member("n_nationkey", "int32", 1), member("n_name", "string", 2)])
     rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", to_wire(F.struct("n_nationkey", "n_name"), schema).alias("payload"))
     return gather_frames(rows, ["n_regionkey"], "payload", ["n_nationkey"]).select("n_regionkey", F.hex("frames").alias("frames"))
+
+
+_FULL = T.StructType([member("o_orderkey", "int64", 1), member("even", "bool", 2), member("state", "string", 3), member("rank", "int32", 4, pointer=True)])
+
+
+@query(
+    f"""SELECT o_orderkey, '18' || {sql_hex(sql_zigzag('o_orderkey'))} || '20' || CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '00' END || '34' || CASE WHEN o_orderstatus = 'F' THEN '00' ELSE '01' || hex(encode(o_orderstatus)) END
+    || CASE WHEN o_custkey % 2 = 1 THEN '440A' ELSE '' END || '00' AS hex FROM orders"""
+)
+def orders_every_field_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that write zero values too."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 2 == 0).alias("even"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")).alias("state"), F.when(F.col("o_custkey") % 2 == 1, F.lit(5)).alias("rank")
+    )
+    return rows.select("o_orderkey", F.hex(to_wire(of(_FULL), _FULL, Options(UNLIMITED.limits, omit_empty=False))).alias("hex"))
+
+
+@query("SELECT nullif(o_orderkey, 0) AS o_orderkey, nullif(o_custkey % 3, 0) AS third, nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END, '') AS state FROM orders")
+def orders_absent_as_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that a record leaves out, read as null."""
+    schema = T.StructType([member("o_orderkey", "int64", 1), member("third", "int64", 2), member("state", "string", 3)])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("third"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")).alias("state"))
+    return decoded(encoded(rows, schema), "payload", schema, Options(UNLIMITED.limits, absent="null"), "FAILFAST").select("record.*")
+
+
+@query(
+    f"""SELECT o_orderkey, CAST(1 + 1 + {sql_size('n')} + list_sum(list_transform(range(n), lambda x: {sql_size(sql_zigzag('(x * 1000)'))}))
+    + 1 + 1 + 2 + {sql_size(sql_zigzag('o_custkey'))} + 2 + {sql_size(sql_zigzag('o_orderkey'))} + 1 + 1 + 16 AS INTEGER) AS bytes FROM (SELECT o_orderkey, o_custkey, o_orderkey % 7 + 1 AS n FROM orders)"""
+)
+def orders_nested_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of lists, maps and fixed arrays without encoding them, as long as what encoding makes."""
+    schema = T.StructType([member("steps", "array<bigint>", 1), member("keys", "map<string,bigint>", 2), member("pair", "array<double>", 3, size=2)])
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 7), lambda x: x * 1000)
+    keys = F.create_map(F.lit("c"), F.col("o_custkey"), F.lit("o"), F.col("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", steps.alias("steps"), keys.alias("keys"), F.array(F.col("o_totalprice"), F.lit(0.0)).alias("pair"))
+    made = rows.select("o_orderkey", wire_size(of(schema), schema, UNLIMITED).cast("int").alias("bytes"), F.octet_length(to_wire(of(schema), schema, UNLIMITED)).alias("made"))
+    return made.select("o_orderkey", F.when(F.col("bytes") == F.col("made"), F.col("bytes")).alias("bytes"))
+
+
+@query(
+    """SELECT strict, error, CAST(sum(n) AS BIGINT) AS frames FROM (SELECT false AS strict, 'ok' AS error, CASE o_orderkey % 4 WHEN 0 THEN 2 ELSE 1 END AS n FROM orders
+    UNION ALL SELECT true, 'ok', CASE o_orderkey % 4 WHEN 0 THEN 2 ELSE 1 END FROM orders UNION ALL SELECT false, 'unexpected_eof', 1 FROM orders WHERE o_orderkey % 4 IN (1, 2)
+    UNION ALL SELECT true, 'unexpected_eof', 1 FROM orders WHERE o_orderkey % 4 > 0) GROUP BY 1, 2"""
+)
+def orders_frames_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames each, cut short by 0 to 3 bytes: an end behind a length alone is clean, unless reading is strict."""
+    from functools import reduce
+
+    from fathomwire.operators.frames import explode_frames
+
+    both = F.concat(wire.framed(F.encode(F.lit("abc"), "UTF-8")), wire.framed(F.encode(F.lit("def"), "UTF-8")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", both.alias("run")).select(F.expr("substring(run, 1, octet_length(run) - CAST(o_orderkey % 4 AS INT))").alias("run"))
+    seen = [explode_frames(rows, "run", strict=s).groupBy(F.lit(s).alias("strict"), F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("frames")) for s in (False, True)]
+    return reduce(DataFrame.unionByName, seen)
+
+
+@query(f"SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 + {sql_size(sql_zigzag('n_nationkey'))} END + 1 + {sql_size('strlen(n_name)')} + strlen(n_name) + 1 AS BIGINT) AS consumed, n_name FROM nation")
+def nation_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a reader gets where other bytes follow the record."""
+    schema = T.StructType([member("n_nationkey", "int32", 1), member("n_name", "string", 2)])
+    rows = encoded(table(spark, sf_dir, "nation"), schema).select(F.concat("payload", wire.raw(b"\x01\x02\x03")).alias("payload"))
+    return decoded(rows, "payload", schema).select("record.n_nationkey", "consumed", "record.n_name")

@@ -334,17 +334,19 @@ def embeddings_raw_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CASE l_orderkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'unexpected_eof' WHEN 2 THEN 'trailing_bytes' WHEN 3 THEN 'unknown_field'
-    WHEN 4 THEN 'wire_type_mismatch' ELSE 'overflow' END AS error, count(*) AS rows FROM lineitem GROUP BY 1"""
+    """SELECT CASE l_orderkey % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'unexpected_eof' WHEN 2 THEN 'trailing_bytes' WHEN 3 THEN 'unknown_field'
+    WHEN 4 THEN 'wire_type_mismatch' WHEN 5 THEN 'overflow' WHEN 6 THEN 'varint_too_long' WHEN 7 THEN 'varint_overflow' ELSE 'invalid_utf8' END AS error, count(*) AS rows FROM lineitem GROUP BY 1"""
 )
 def malformed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads damaged in five ways, by the fault that strict decoding finds."""
+    """Payloads damaged in eight ways, by the fault that strict decoding finds."""
     rows = encoded(table(spark, sf_dir, "lineitem"), LINE, "l_orderkey")
-    p, way = F.col("payload"), F.col("l_orderkey") % 6
+    p, way = F.col("payload"), F.col("l_orderkey") % 9
     cut = F.expr("substring(payload, 1, octet_length(payload) - 1 - CAST(l_orderkey % 11 AS INT))")
-    ahead = lambda data: F.concat(wire.raw(data), p)
-    unknown, other_type, large = b"\xe0\x01", wire.compact_tag(1, 0) + b"\x02", wire.compact_tag(4, 4) + b"\xff\xff\xff\xff\xff\x01"
-    damaged = F.when(way == 0, p).when(way == 1, cut).when(way == 2, F.concat(p, wire.raw(b"\x00"))).when(way == 3, ahead(unknown)).when(way == 4, ahead(other_type)).otherwise(ahead(large))
+    number, text = wire.compact_tag(4, 4), wire.compact_tag(9, 2)
+    ahead = {3: b"\xe0\x01", 4: wire.compact_tag(1, 0) + b"\x02", 5: number + b"\xff\xff\xff\xff\xff\x01", 6: number + b"\xff" * 10, 7: number + b"\xff" * 9 + b"\x02", 8: text + b"\x01\xff"}
+    damaged = F.when(way == 0, p).when(way == 1, cut).when(way == 2, F.concat(p, wire.raw(b"\x00")))
+    for k, data in ahead.items():
+        damaged = damaged.when(way == k, F.concat(wire.raw(data), p))
     return conformance(decoded(rows.select(damaged.alias("payload")), "payload", LINE, STRICT))
 
 
