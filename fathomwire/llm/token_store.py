@@ -31,7 +31,7 @@ from .common import empty_text, stored
 from .tokens import encoder, texts_in
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
-RANGE_BYTES = 32 << 20  # of ids in a range of documents
+RANGE_BYTES = 8 << 20  # of ids in a range of documents
 BLOCKS = (
     "part int, block int, start_in_part long, n_tokens long, doc_ids array<long>, doc_tokens array<int>,"
     " payload binary, marks binary"
