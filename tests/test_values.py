@@ -41,6 +41,14 @@ def test_raw_floats(spark, tmp_path):
     assert struct.pack("<3d", 1.5, -2.0, 0.0) in {bytes(r.b) for r in got if r.b is not None}
 
 
+def test_raw_numbers(spark, tmp_path):
+    rows = [([0, 1, 2**32 - 1], b"\x01\x02"), ([7], b""), (None, None), ([], b"\x05")]
+    df = spark.createDataFrame([(v, bytearray(t) if t is not None else None) for v, t in rows], "v array<bigint>, t binary")
+    df.select("v", V.packed_fixed(F.col("v"), 8).alias("b"), F.concat(V.packed_fixed(F.col("v")), "t").alias("s")).write.parquet(str(tmp_path / "p"))
+    got = spark.read.parquet(str(tmp_path / "p")).select("v", V.unpacked_fixed(F.col("b"), 8).alias("d"), V.unpacked_fixed(F.col("s")).alias("f")).collect()
+    assert len(got) == 4 and all(r.f == r.v and (r.d is None if r.v is None else [int(x) for x in r.d] == r.v) for r in got)  # odd bytes behind the last number go
+
+
 def test_unions_and_tables():
     a = T.StructType([member("x", "int32", 1)])
     with pytest.raises(ValueError, match="different"):
