@@ -1,8 +1,7 @@
 """Operator 8: language identification by Bayesian evidence fusion.
 
-Text: the likelihood under a model of hashed three-byte sequences for each language, trained on a bounded sample (``sample`` rows
-at most) of documents whose language is known, in which each language has its share, a rare one all its rows; long texts count as
-``strength`` sequences at most, as neighbours repeat one another.  Declared language (markup) and address suffix: P(value | language), from counts over all rows, smoothed.  Host: a prior
+Text: the likelihood under a model of hashed three-byte sequences for each language, whose counts, means and limits come from all
+documents whose language is known; long texts count as ``strength`` sequences at most, as neighbours repeat one another.  Declared language (markup) and address suffix: P(value | language), from counts over all rows, smoothed.  Host: a prior
 that is smoothed towards its domain's, which is smoothed towards that of all rows, from sums over all
 rows.  Posterior = prior x all three likelihoods, over the model's languages.
 
@@ -10,7 +9,7 @@ A row is rejected if it has no letters ("empty"), if its text fits the best lang
 its class of length ("misfit": other languages, code, random letters), or if no language reaches ``least`` ("unsure").  A class of fewer than 1 / ``tail``
 training texts takes the limit of all classes, and where those are too few as well, ``fit`` standard deviations.
 
-Scale: one pass over the texts; what follows are grouped sums of a few numbers a row, added up before they shuffle.  Rows without a host
+Scale: training reads the texts three times (languages, sequences, fits), identification once; what follows are grouped sums of a few numbers a row, added up before they shuffle.  Rows without a host
 are spread when hosts are joined; a host of many rows is left to skew joins, as the other side has it once.
 
 Edge cases: a null or empty text gives no text evidence and is rejected; a missing declaration, suffix or host gives no evidence;
@@ -91,63 +90,106 @@ def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
     return out
 
 
-def train_text(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", lang_col: str = "lang", least_rows: int = 5, tail: float = 0.001, strength: int = 200, languages: int = 256) -> TextModel:
-    """A text model of the languages that label ``least_rows`` rows at least; the ``languages`` most frequent, if there are more."""
+def train_text(docs: DataFrame, sample: int = 0, id_col: str = "doc_id", lang_col: str = "lang", least_rows: int = 5, tail: float = 0.001, strength: int = 200, languages: int = 256) -> TextModel:
+    """A text model of the languages that label ``least_rows`` rows at least; the ``languages`` most frequent, if there are more.
+
+    It is learnt from all of their rows; ``sample``, if not 0, bounds the rows for a trial.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string"))
     seen = known.groupBy("lang").count().filter(F.col("count") >= least_rows).orderBy(F.desc("count"), "lang").limit(languages).collect()
-    # nine tenths of ``sample`` on the average, so that more than ``sample`` is out of the question
-    part = shares({r.lang: r["count"] for r in seen}, int(0.9 * sample))
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("lang")) if part else F.lit(0.0)
-    # each row for itself, alike or not
-    rows = known.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 62)) < share * (1 << 62)).select("lang", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for i, _, data, off in text_slices(batch.column(1), 1 << 19):
-                bound, codes = sequences(data, off)
-                for k in range(len(bound) - 1):
-                    if len(own := codes[bound[k] : bound[k + 1]]):
-                        have = total.setdefault(langs[i + k], np.zeros((1 << BITS) + 1, np.int64))
-                        np.add.at(have, own, 1) if len(own) < 1000 else have.__iadd__(np.bincount(own, minlength=len(have)))
-                        have[-1] += 1
-        for lang, have in total.items():
-            yield pa.record_batch([pa.array([lang]), pa.array([have.tobytes()], pa.binary())], ["lang", "counts"])
-
-    kept = stored(rows.repartition(8), "language-sample")
-    sums: dict[str, np.ndarray] = {}
-    for r in kept.mapInArrow(run, "lang string, counts binary").toLocalIterator():  # tasks x languages of a bounded sample
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    names = sorted(sums)
-    table = np.array([np.log((sums[x][:-1] + 0.5) / (sums[x][:-1].sum() + 0.5 * (1 << BITS))) for x in names], np.float32).reshape(len(names), 1 << BITS)
+    part = {r.lang: 1.0 for r in seen}
+    if sample:  # nine tenths of it on the average, so that more than ``sample`` is out of the question
+        part = shares({r.lang: r["count"] for r in seen}, int(0.9 * sample))
+    rows = known.filter(F.col("lang").isin(list(part)))
+    if any(x < 1 for x in part.values()):
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("lang"))
+        # each row for itself, alike or not
+        picked = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 62)) < share * (1 << 62)
+        rows = stored(rows.filter(picked), "language-sample")
+    names, counts = sequence_counts(rows)
+    table = np.array([np.log((x + 0.5) / (x.sum() + 0.5 * (1 << BITS))) for x in counts], np.float32).reshape(len(names), 1 << BITS)
     model = TextModel(names, table, np.zeros(len(names)), np.ones(len(names)))
     if names:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
+            at = {x: k for k, x in enumerate(m.languages)}
             for batch in batches:
-                langs = batch.column(0).to_pylist()
-                for i, _, data, off in text_slices(batch.column(1), 1 << 19):
-                    n, ll, _ = m.likelihoods(data, off, 1)
-                    known = [(langs[i + k], float(ll[k, m.languages.index(langs[i + k])])) for k in range(len(n)) if n[k] >= 100 and langs[i + k] in m.languages]
-                    yield pa.record_batch([pa.array([x for x, _ in known], pa.string()), pa.array([v for _, v in known], pa.float64())], ["lang", "each"])
-
-        for r in kept.mapInArrow(measure, "lang string, each double").groupBy("lang").agg(F.avg("each").alias("mean"), F.stddev("each").alias("deviation")).collect():
-            model.mean[names.index(r.lang)], model.deviation[names.index(r.lang)] = r["mean"], max(r.deviation or 0.0, 0.02)
-        model.limits = tail_limits(with_likelihoods(kept.select("text"), model, "text", strength), tail)
+                langs = np.array([at.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+                for i, j, data, off in text_slices(batch.column(1), 1 << 19):
+                    n, each, _ = m.likelihoods(data, off, 1)
+                    best, own, row = each.argmax(1), langs[i:j], np.arange(j - i)
+                    yield pa.record_batch([pa.array(x) for x in (own, each[row, own], n, best, each[row, best])], ["lang", "own", "n", "best", "top"])
+
+        # a few numbers for each training text
+        fits = stored(rows.mapInArrow(measure, "lang long, own double, n long, best long, top double"), "language-fits").filter("lang >= 0")
+        for r in fits.filter("n >= 100").groupBy("lang").agg(F.avg("own").alias("mean"), F.stddev("own").alias("deviation")).collect():
+            model.mean[r.lang], model.deviation[r.lang] = r["mean"], max(r.deviation or 0.0, 0.02)
+        of_best = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("best").cast("int") + 1)
+        fit = (F.col("top") - of_best(model.mean)) / of_best(model.deviation) * F.sqrt(F.least("n", F.lit(strength)) / F.lit(float(strength)))
+        model.limits = tail_limits(fits.select(F.col("n").alias(f"{OWN}n"), fit.alias(f"{OWN}fit")), tail)
     return model
 
 
+def sequence_counts(rows: DataFrame, slices: int = 16) -> tuple[list[str], list[np.ndarray]]:
+    """(languages, how often their texts hold each sequence) over all ``rows`` (lang, text).
+
+    A task adds up its own rows; its sums go to the tasks that add up a slice of a language's sequences, so the driver gets one row a slice, however many tasks there are.
+    """
+    width = (1 << BITS) // slices
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, which = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            for i, j, data, off in text_slices(batch.column(1), 1 << 19):
+                bound, codes = sequences(data, off)
+                lang = np.repeat(which[i:j].astype(np.int32), np.diff(bound))
+                codes = codes[np.argsort(lang, kind="stable")]
+                until = np.cumsum(np.bincount(lang, minlength=len(names)))
+                for k, name in enumerate(names):
+                    if len(own := codes[until[k - 1] if k else 0 : until[k]]):
+                        total[name] = total.get(name, 0) + np.bincount(own, minlength=1 << BITS)
+        for name, have in total.items():
+            parts = have.astype(np.int64).reshape(slices, width)
+            yield pa.record_batch([pa.array([name] * slices), pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["lang", "part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, part, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                total[name, part] = total.get((name, part), 0) + np.frombuffer(counts, np.int64)
+        for (name, part), have in total.items():
+            yield pa.record_batch([pa.array([name]), pa.array([part], pa.int32()), pa.array([have.tobytes()], pa.binary())], ["lang", "part", "counts"])
+
+    schema = "lang string, part int, counts binary"
+    sums: dict[str, np.ndarray] = {}
+    for r in rows.mapInArrow(count, schema).repartition(8, "lang", "part").mapInArrow(add, schema).collect():
+        sums.setdefault(r.lang, np.zeros((slices, width), np.int64))[r.part] = np.frombuffer(r.counts, np.int64)
+    return sorted(sums), [sums[x].reshape(-1) for x in sorted(sums)]
+
+
 def tail_limits(rows: DataFrame, tail: float) -> np.ndarray:
-    """By class of length, the fit below which ``tail`` of ``rows`` (with likelihoods) lie."""
-    fits = rows.filter(F.col(f"{OWN}n") > 0)
-    low = F.percentile_approx(f"{OWN}fit", tail, 10_000)
-    found = fits.rollup(length_class(F.col(f"{OWN}n")).alias("class")).agg(F.count("*").alias("n"), low.alias("low")).collect()
-    lows = {r["class"]: r.low for r in found if r.n * tail >= 1}
-    return np.array([lows.get(k, lows.get(None, -np.inf)) for k in range(len(CLASSES) + 1)])
+    """By class of length, the fit below which ``tail`` of ``rows`` (with likelihoods) lie, or less by the rows of one step of a thousandth.
+
+    All rows are counted by step, so the limits do not depend on how they are dealt.
+    """
+    fit = F.col(f"{OWN}fit")
+    step = F.floor(F.greatest(F.least(fit, F.lit(100.0)), F.lit(-100.0)) * 1000)
+    by_step = rows.filter(F.col(f"{OWN}n") > 0).groupBy(length_class(F.col(f"{OWN}n")).alias("class"), step.alias("step")).agg(F.count("*").alias("n"), F.min(fit).alias("low"))
+    found = by_step.toArrow()
+    kind, at, n, low = (found.column(c).to_numpy() for c in ("class", "step", "n", "low"))
+
+    def limit(own: np.ndarray) -> float | None:
+        own = own[np.argsort(at[own])]
+        until = np.cumsum(n[own])
+        return float(low[own][np.searchsorted(until, tail * until[-1])]) if len(own) and until[-1] * tail >= 1 else None
+
+    whole = limit(np.arange(len(n)))
+    limits = [limit(np.flatnonzero(kind == k)) for k in range(len(CLASSES) + 1)]
+    return np.array([x if x is not None else whole if whole is not None else -np.inf for x in limits])
 
 
 def with_likelihoods(rows: DataFrame, model: TextModel, column: str, strength: int) -> DataFrame:

@@ -257,3 +257,25 @@ def test_pipeline(spark, sf_dir, odd_docs, no_docs):
             if name != "best_fit_packing":
                 assert now.columns == table.columns
             now.count()
+
+
+def test_language_model_is_learnt_from_all_rows(spark):
+    """More rows than any sample would hold: counts, means and limits are those of every row."""
+    n = 24_000
+    texts = [("a" if i % 3 else "b", f"number {i * 7919 % 99991} " + "of the house and the garden " * (i % 7)) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(5)
+    model = L.train_text(docs, tail=0.01)
+    assert model.languages == ["a", "b"]
+    every = {x: np.zeros(1 << L.BITS, np.int64) for x in model.languages}
+    for x, t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        every[x] += np.bincount(L.sequences(raw, np.array([0, len(raw)]))[1], minlength=1 << L.BITS)
+    for k, x in enumerate(model.languages):
+        assert np.array_equal(model.table[k], np.log((every[x] + 0.5) / (every[x].sum() + 0.5 * (1 << L.BITS))).astype(np.float32))
+    rows = [(r["_fathomwire_n"], r["_fathomwire_fit"], r["_fathomwire_ll"][k] / min(r["_fathomwire_n"], 200)) for r in L.with_likelihoods(docs, model, "text", 200).collect() for k in [model.languages.index(r.lang)] if r.lang == "a"]
+    own = [v for count, _, v in rows if count >= 100]
+    assert len(own) > 1000 and model.mean[0] == pytest.approx(np.mean(own)) and model.deviation[0] == pytest.approx(max(np.std(own, ddof=1), 0.02))
+    fits = [(r["_fathomwire_n"], r["_fathomwire_fit"]) for r in L.with_likelihoods(docs, model, "text", 200).collect()]
+    for k, low in enumerate(L.CLASSES):
+        own = np.array([f for count, f in fits if (0 if k == 0 else L.CLASSES[k - 1]) <= count < low])
+        assert (own < model.limits[k] - 1e-9).sum() <= 0.01 * len(own) <= (own < model.limits[k] + 0.001 + 1e-9).sum()
