@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomwire.operators import decode as D
+from fathomwire.operators import frames
 from fathomwire.operators.encode import to_wire
 from fathomwire.operators.encode_batches import encode_batch, is_flat, with_wire
 from fathomwire.plans.types import DEFAULT, STRICT, Limits, Options, member, record
@@ -126,3 +128,36 @@ def test_failfast_names_the_fault():
     schema = T.StructType([member("a", "int32", 1), member("b", "string", 2)])
     with pytest.raises(D.Malformed, match="unexpected_eof at byte 4 in b"):
         D.batch_decoder(schema, STRICT, "FAILFAST")(pa.array([b"\x18\x02\x24\x05xy"], pa.binary()))
+
+
+@pytest.mark.parametrize("few", [0, 32])
+@pytest.mark.parametrize(("limit", "strict"), [(0, False), (0, True), (40, False), (40, True)])
+def test_frames_of_batches_against_those_of_rows(few, limit, strict):
+    """Runs cut or damaged anywhere, and none: the same frames and faults, whichever reader finds them."""
+    rng = random.Random(5)
+    runs = []
+    for _ in range(2000):
+        run = b"".join(bytes([n]) + bytes(n) if n < 128 else bytes([n & 127 | 128, n >> 7]) + bytes(n) for n in rng.choices([0, 1, 3, 50, 127, 128, 300], k=rng.randrange(4)))
+        run += rng.choice([b"", b"", b"\x80", b"\xff" * rng.randrange(12), b"\x80" * rng.randrange(12) + b"\x00" + b"\x01a", b"\x05ab"])
+        runs.append(run[: rng.randrange(len(run) + 1)] if rng.random() < 0.5 else run)
+    off = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    row, offset, first, last, faults = frames.batch_bounds(data, off[:-1], off[1:], limit, strict, few)
+    own = [[] for _ in runs]
+    for r, *place in zip(row.tolist(), offset.tolist(), (first - off[row]).tolist(), (last - off[row]).tolist(), strict=True):
+        own[r].append(tuple(place))
+    assert [(o, f) for o, f in zip(own, faults, strict=True)] == [frames.frame_bounds(r, limit, strict) for r in runs]
+
+
+def test_frames_of_a_batch_come_together(spark, monkeypatch):
+    """Frames of many short runs make few batches, not one for each run."""
+    rows = spark.createDataFrame([(i, bytearray(b"\x01a\x02bc" + b"\x05x" * (i % 3 == 0))) for i in range(500)], "i int, x binary").coalesce(1)
+    plain = frames.explode_frames(rows, "x")
+    got = plain.collect()
+    want = [(i, *f) for i in range(500) for f in [(0, 0, b"a", None), (1, 2, b"bc", None), *([(2, 5, None, "unexpected_eof")] if i % 3 == 0 else [])]]
+    assert [(r.i, r.ordinal, r.offset, r.payload and bytes(r.payload), r.error) for r in got] == want
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: f)
+    run = frames.explode_frames(rows, "x")
+    batch = pa.record_batch([pa.array(range(500), pa.int32()), pa.array([b"\x01a\x02bc"] * 500, pa.binary())], ["i", "x"])
+    made = list(run([batch]))
+    assert len(made) == 1 and made[0].num_rows == 1000
