@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomwire.functions.wire import uvarint_bytes
 from fathomwire.operators import decode as D
 from fathomwire.operators import frames
 from fathomwire.operators.encode import to_wire
@@ -161,3 +162,16 @@ def test_frames_of_a_batch_come_together(spark, monkeypatch):
     batch = pa.record_batch([pa.array(range(500), pa.int32()), pa.array([b"\x01a\x02bc"] * 500, pa.binary())], ["i", "x"])
     made = list(run([batch]))
     assert len(made) == 1 and made[0].num_rows == 1000
+
+
+def test_decoder_takes_bounded_runs_of_rows(spark, monkeypatch):
+    """However large a batch, no more than a few MB of records are decoded at once; a longer record alone."""
+    schema = T.StructType([member("text", "string", 1)])
+    texts = ["é" * 200_000 if i % 3 else "short" for i in range(60)] + ["x" * 3_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1).select("i", to_wire(F.struct("text"), schema).alias("payload"))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = D.decoded(df, "payload", schema)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int32()), pa.array([b"\x14" + uvarint_bytes(len(t.encode())) + t.encode() + b"\x00" for t in texts], pa.binary())], ["i", "payload"])
+    made = list(run([batch]))
+    assert [r["text"] for m in made for r in m.column(1).to_pylist()] == texts and [i for m in made for i in m.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(m.num_rows == 1 or sum(len(r["text"].encode()) for r in m.column(1).to_pylist()) <= 1 << 20 for m in made)
