@@ -75,7 +75,7 @@ def body(value: Column, shape: Shape, omit_empty: bool = True) -> Column:
         packed = F.concat(wire.uvarint(F.size(checked).cast("long")), wire.joined(F.transform(checked, lambda x: body(x, shape.item, omit_empty))))
         return F.when(value.isNull(), wire.raw(b"\x00")).otherwise(packed)
     if kind == "map":
-        entries = F.array_sort(F.map_entries(value))
+        entries = F.sort_array(F.map_entries(value))  # keys differ; array_sort compares by an expression for each pair
         packed = F.concat(
             wire.uvarint(F.size(value).cast("long")),
             wire.joined(F.transform(entries, lambda e: F.concat(body(e["key"], shape.key), body(e["value"], shape.item, omit_empty)))),

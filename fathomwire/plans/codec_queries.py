@@ -14,6 +14,7 @@ from fathomwire.operators.legacy import legacy_fields
 from fathomwire.plans.queries import DOCUMENT, PAGE, _union, encoded, of, query, reread, sql_hex, sql_size, sql_zigzag, table
 from fathomwire.plans.registry import Registry
 from fathomwire.plans.types import STRICT, UNLIMITED, Limits, Options, member
+from fathomwire.session import dealt
 
 WIDE = T.StructType(
     [
@@ -140,7 +141,8 @@ def orders_maps_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of several keys, given in no order: their bytes by key, and their values decoded; keys of text, whole and floating numbers."""
     schema = T.StructType([member("by_name", "map<string,bigint>", 1)])
     more = T.StructType([member("by_number", "map<int,string>", 1), member("by_float", "map<double,double>", 2)])
-    rows = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    rows = dealt(orders, "o_orderkey").select(
         "o_orderkey",
         F.create_map(F.lit("m"), F.char_length("o_orderpriority").cast("long"), F.lit("a"), F.col("o_custkey"), F.lit("b"), F.col("o_orderkey")).alias("by_name"),
         F.create_map(F.lit(7), F.col("o_orderpriority"), F.lit(-3), F.col("o_orderstatus")).alias("by_number"),
@@ -163,7 +165,8 @@ def lineitem_fixed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = T.StructType([member("money", "array<double>", 1, size=3)])
     reader = T.StructType([member("money", "array<double>", 1, size=4)])
     whole = T.StructType([member("numbers", "array<bigint>", 1, size=2)])
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_tax").alias("money"), F.array(F.col("l_linenumber").cast("long"), "l_partkey").alias("numbers"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    rows = dealt(lines, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_tax").alias("money"), F.array(F.col("l_linenumber").cast("long"), "l_partkey").alias("numbers"))
     wires = rows.select("l_orderkey", "l_linenumber", F.hex(to_wire(of(whole), whole, UNLIMITED)).alias("hex"), to_wire(of(writer), writer, UNLIMITED).alias("payload"))
     back = reread(wires.withColumn("bytes", F.octet_length("payload")), reader)
     item = lambda i: F.element_at("record.money", i)
@@ -346,7 +349,7 @@ def orders_frames_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomwire.operators.frames import explode_frames
 
     both = F.concat(wire.framed(F.encode(F.lit("abc"), "UTF-8")), wire.framed(F.encode(F.lit("def"), "UTF-8")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", both.alias("run")).select(F.expr("substring(run, 1, octet_length(run) - CAST(o_orderkey % 4 AS INT))").alias("run"))
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", both.alias("run")).select(F.expr("substring(run, 1, octet_length(run) - CAST(o_orderkey % 4 AS INT))").alias("run"))
     seen = [explode_frames(rows, "run", strict=s).groupBy(F.lit(s).alias("strict"), F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("frames")) for s in (False, True)]
     return reduce(DataFrame.unionByName, seen)
 

@@ -44,3 +44,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files have fewer splits than there are cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by ``keys``: a file of few row groups has rows for few of its splits, however many there are."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

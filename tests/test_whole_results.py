@@ -58,3 +58,15 @@ def test_events_and_turns_of_one_large_key(spark, tmp_path, monkeypatch):
     assert max(sizes) <= 4096
     turns = pa.table({"conv_id": [i % 3 and 7 for i in range(n)], "turn": range(n), "role": ["user"] * n, "text": ["ab"] * n})
     same_as_sql(spark, tmp_path, "conversations_nested", {"conversations": turns})
+
+
+def test_one_row_group_is_worked_on_by_all_cores(spark, tmp_path):
+    n = 2000
+    lines = {"l_orderkey": range(n), "l_linenumber": [1] * n, "l_partkey": range(n), "l_quantity": [1.5] * n, "l_discount": [0.5] * n, "l_tax": [0.25] * n}
+    kinds = {"l_orderkey": pa.int64(), "l_linenumber": pa.int32(), "l_partkey": pa.int64()}
+    same_as_sql(spark, tmp_path, "lineitem_fixed_arrays", {"lineitem": pa.table({k: pa.array(v, kinds.get(k, pa.float64())) for k, v in lines.items()})})
+    orders = pa.table({"o_orderkey": range(n), "o_custkey": range(n), "o_orderstatus": ["F"] * n, "o_totalprice": [2.5] * n, "o_orderpriority": ["1-URGENT"] * n})
+    same_as_sql(spark, tmp_path, "orders_maps_roundtrip", {"orders": orders})
+    for name in ("lineitem_fixed_arrays", "orders_maps_roundtrip"):
+        tasks = queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().count()
+        assert tasks >= spark.sparkContext.defaultParallelism
