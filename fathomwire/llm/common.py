@@ -1,4 +1,4 @@
-"""Shared helpers: stored intermediate tables, byte-level text kernels, 64-bit mixing."""
+"""Shared helpers: stored intermediate tables, filters of keys, byte-level text kernels, 64-bit mixing."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomwire.session import shared_folder
@@ -21,7 +21,7 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -53,6 +53,59 @@ def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
     return docs.select(*known, *packed), back
 
 
+# A block of a key filter is 4096 bits as 64 words; a key has PROBES bits in one block.  So many blocks at most: 8 MB for each kind of keys.
+PROBES = 4
+FILTER_BLOCKS = 1 << 14
+
+
+def _probes(h: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """(block, numbers of the bits in it) of a 64-bit hash; ``blocks`` is a power of two."""
+    own = F.xxhash64(h)
+    return h.bitwiseAND(F.lit(blocks - 1)).cast("int"), [F.shiftrightunsigned(own, 12 * i).bitwiseAND(F.lit(4095)).cast("int") for i in range(PROBES)]
+
+
+def key_filter(keys: DataFrame, kinds: int, bits: int) -> tuple[DataFrame, int]:
+    """(block, words_0, words_1, ...; number of blocks): bit maps of the hashes in ``keys`` (h long, kind int), about ``bits`` bits for each key and kind.
+
+    Its size is bounded, and more keys only make more false positives: what may be in it needs an exact look, what may not is surely outside.
+    """
+    spark = keys.sparkSession
+    blocks, n = 1, keys.count()
+    while blocks < FILTER_BLOCKS and blocks * 4096 < bits * n:
+        blocks *= 2
+    block, probes = _probes(F.col("h"), blocks)
+    each = keys.select(block.alias("block"), "kind", F.explode(F.array(*probes)).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))
+    words = each.groupBy("block", "kind", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    of_kind = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("word", "mask"))))
+    held = words.groupBy("block").agg(*[of_kind(k).alias(f"map_{k}") for k in range(kinds)])
+    every = spark.range(blocks).select(F.col("id").cast("int").alias("block")).join(held, "block", "left")
+
+    def dense(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at(F.col(f"map_{k}"), i), F.lit(0).cast("long")))
+
+    return stored(every.select("block", *[dense(k).alias(f"words_{k}") for k in range(kinds)]), "key-filter"), blocks
+
+
+def may_hold(rows: DataFrame, h: Column, found: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` with boolean columns ``_fathomwire_may_0``, ...: whether the hash ``h`` may be among the filter's keys of each kind; no text moves."""
+    words, blocks = found
+    names = [c for c in words.columns if c != "block"]
+    hashed = rows.withColumn("_fathomwire_h", h)
+    block, probes = _probes(F.col("_fathomwire_h"), blocks)
+    own = F.broadcast(words.select(F.col("block").alias("_fathomwire_block"), *[F.col(c).alias(f"_fathomwire_{c}") for c in names]))
+
+    def held(name: str) -> Column:
+        out = F.lit(True)
+        for bit in probes:
+            word = F.get(F.col(f"_fathomwire_{name}"), F.shiftright(bit, 6))
+            out &= F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+        return out
+
+    joined = hashed.join(own, block == F.col("_fathomwire_block"))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[held(c).alias(f"_fathomwire_may_{c.removeprefix('words_')}") for c in names])
+
+
 def empty_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, apart, counted_shingles, empty_text, mix, stored, text_slices
+from .common import GOLD, apart, counted_shingles, empty_text, key_filter, may_hold, mix, stored, text_slices
 
 # The cumulative probabilities of a Poisson count of mean 1.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(17)])
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-CELLS = 1 << 20
+CELLS = 1 << 16
 
 
 def throw(row: np.ndarray, element: np.ndarray, weight: np.ndarray, reach: np.ndarray, coordinates: int, out: np.ndarray) -> None:
@@ -280,9 +280,12 @@ def classes(docs: DataFrame, least: float, width: int, bands: int, rows: int, bl
     member = stored(keyed.join(hubs, "key"), "members")
     stars = stored(member.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # the text of one row of each node in a bucket
-    wanted = member.select("node").distinct().join(nodes.select("node", "digest", "first"), "node")
+    wanted = stored(member.select("node").distinct().join(nodes.select("node", "digest", "first"), "node"), "wanted")
     text = empty_text()
     whole = docs.select(F.col("doc_id").cast("long").alias("first"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    # other texts stay where they are
+    row = F.xxhash64("first", "digest")
+    whole = may_hold(whole, row, key_filter(wanted.select(row.alias("h"), F.lit(0).alias("kind")), 1, 12)).filter("_fathomwire_may_0").drop("_fathomwire_may_0")
     same = (F.col("w.digest") == F.col("d.digest")) & F.col("w.first").eqNullSafe(F.col("d.first"))
     texts = stored(wanted.alias("w").join(whole.alias("d"), same).groupBy("w.node").agg(F.first("d.text").alias("text")), "texts")
 
@@ -365,10 +368,15 @@ def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int =
     docs, back = apart(docs)
     sign, classed = classes(docs, least, width, bands, rows, block, part_bytes)
     kept = stored(classed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", F.hex("digest").alias("hex"))).alias("k")).select(F.col("k.first").alias("_fathomwire_first"), F.col("k.hex").alias("_fathomwire_hex")), "kept")
-    key = F.md5(empty_text())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_fathomwire_first")) & (F.upper(key) == F.col("_fathomwire_hex"))
-    found = docs.join(kept, same, "left_semi")
-    again = sign.groupBy("doc_id", "digest").count().filter("count > 1")
-    if again.isEmpty():
-        return back(found)
-    return back(found.withColumn("_fathomwire_key", key).dropDuplicates(["doc_id", "_fathomwire_key"]))
+    key = F.upper(F.md5(empty_text()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_fathomwire_first")) & (F.col("_fathomwire_key") == F.col("_fathomwire_hex"))
+    row = F.xxhash64(F.col("doc_id").cast("long"), "_fathomwire_key")
+    # rows that go, and rows alike in id and text; a row that is surely none of them stays without a join, so its text doesn't move
+    counted = sign.groupBy("doc_id", F.hex("digest").alias("_fathomwire_key")).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), same, "left")
+    odd = stored(counted.filter("n > 1 OR stays IS NULL").select(row.alias("h"), F.lit(0).alias("kind"), (F.col("n") > 1).alias("again")), "odd")
+    told = may_hold(docs.withColumn("_fathomwire_key", key), row, key_filter(odd.select("h", "kind"), 1, 12))
+    # not as a semi-join, which Spark would push below the filter; ``kept`` has a pair once
+    found = told.filter("_fathomwire_may_0").join(kept, same).select(*told.columns)
+    if not odd.filter("again").isEmpty():
+        found = found.dropDuplicates(["doc_id", "_fathomwire_key"])
+    return back(told.filter("NOT _fathomwire_may_0").unionByName(found))

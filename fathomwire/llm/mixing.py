@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, stored
+from .common import apart, key_filter, may_hold, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 ALIKE = 4096  # rows alike that one task makes or numbers at a time
@@ -179,6 +179,22 @@ def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
         rows = rows.withColumn("_fathomwire_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
     else:
         rows = numbered_alike(rows, list(key))
+    if most > 1:
+        return back(copied(rows, taken))
+    # where an id, source and size are one row's: a row that may be among those of one number of copies alone needs no join, so its text doesn't move
+    times = sorted(r.copies for r in taken.select("copies").distinct().collect())  # a few whole numbers: 0 to ``cap``
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in zip(times, range(len(times))) for x in pair]), F.col("copies")) if times else F.lit(0)
+    found = key_filter(taken.select(F.xxhash64("doc_id", "source", "size").alias("h"), kind.alias("kind")), len(times), 4)
+    told = may_hold(rows, F.xxhash64(*key), found)
+    may = [F.col(f"_fathomwire_may_{k}") for k in range(len(times))]
+    alone = reduce(lambda a, b: a + b, [x.cast("int") for x in may], F.lit(0)) == 1
+    sure = reduce(lambda a, b: a.when(b[0], b[1]), zip(may, times), F.when(F.lit(False), 0))
+    sure = told.filter(alone).withColumn("_fathomwire_copies", sure).filter("_fathomwire_copies > 0").withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_fathomwire_copies")))
+    return back(sure).unionByName(back(copied(told.filter(~alone), taken)))
+
+
+def copied(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``rows``, joined to the copies in ``taken`` and repeated."""
     own = taken.filter("copies > 0").select(*[F.col(c).alias(f"_taken_{c}") for c in taken.columns])
     same = F.col("_fathomwire_id").eqNullSafe(F.col("_taken_doc_id")) & F.col("_fathomwire_source").eqNullSafe(F.col("_taken_source")) & (F.col("_fathomwire_size") == F.col("_taken_size")) & (F.col("_fathomwire_nth") == F.col("_taken_nth"))
-    return back(rows.join(own, same).withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_taken_copies"))))
+    return rows.join(own, same).withColumn("_fathomwire_copy", F.explode(F.sequence(F.lit(1), "_taken_copies")))
