@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_text, stored
-from .tokens import encoder, texts_in
+from .common import empty_text, stored, text_slices
+from .tokens import encoder
 
 TOKENS = "doc_id long, n_tokens long, ids binary"
 RANGE_BYTES = 8 << 20  # of ids in a range of documents
@@ -40,18 +40,17 @@ BLOCKS = (
 
 def tokenise(docs: DataFrame, tokenizer_path: str, tail: tuple[int, ...], width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): each whole text's ids, then ``tail``, as little-endian integers of ``width`` bytes."""
-    end = np.array(tail, "<u4").tobytes()
+    end = np.array(tail, f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path).ids
+        many = encoder(tokenizer_path).many
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [ids_of(x) + end for x in texts_in(part.column(1))]
-                counts = [len(x) // 4 for x in ids]
-                if width == 2:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for i, j, data, off in text_slices(batch.column(1), 2 << 20):
+                own, bounds = many(data, off)
+                ids = np.insert(own.astype(end.dtype), np.repeat(bounds[1:], len(end)), np.tile(end, j - i))
+                bounds = bounds + len(end) * np.arange(j - i + 1)
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(bounds * width), pa.py_buffer(ids)])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), held.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text")).mapInArrow(run, TOKENS)
 

@@ -2,7 +2,8 @@
 
 A BPE tokenizer whose pre-tokenizer never joins text across a space gives a text's ids as the
 concatenation of its words' ids.  Random words are many, so a second cache holds the ids of the
-pre-tokenizer's pieces.  Tokenizers of another form go through ``encode_batch_fast`` whole.
+pre-tokenizer's pieces.  ``many`` takes a run of texts, parts closing signs from
+words, and looks up each of its different words once.  Tokenizers of another form go through ``encode_batch_fast`` whole.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ import os
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_LIMIT = 300_000
 PIECE_LIMIT = 400_000
 LONG_WORD = 64
+LONG_RUN = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,7 +62,9 @@ class TextEncoder:
             spec = json.load(f)
         self.by_word = self._spaces_divide(spec)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.marked = all(x.startswith("<") for x in self.added)
         self.words = Recent(self._word, WORD_LIMIT, LONG_WORD)
+        self.parts = Recent(self._part, WORD_LIMIT, LONG_WORD)
         self.pieces = Recent(self._piece, PIECE_LIMIT)
         self.letters = _byte_letters()
         # one run of Latin letters and one of signs: the pre-tokenizer parts them just there
@@ -101,6 +107,10 @@ class TextEncoder:
                 return b"".join(self.pieces[p] for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
         return self._whole(word)
 
+    def _part(self, word: str) -> bytes:
+        """As ``_word``, for words that ``many`` has parted: one of small letters is one piece, and stands in one cache only."""
+        return self._piece(word) if self.marked and word.islower() and word.isascii() and word.isalpha() and len(word) <= LONG_WORD else self._word(word)
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -110,6 +120,45 @@ class TextEncoder:
         self.pieces.turn()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def many(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of each text in them) for UTF-8 bytes and offsets from 0; each different word is looked up once."""
+        if not self.by_word or len(data) > LONG_RUN:
+            each = [self.ids(data[i:j].tobytes().decode()) for i, j in zip(off, off[1:], strict=False)]
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *(len(x) // 4 for x in each)])
+        self.parts.turn()
+        self.pieces.turn()
+        if self.marked and not (data == ord("<")).any():
+            data, off = parted(data, off)
+        texts = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(data))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        each = list(map(self.parts.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        n = length[which := words.indices.to_numpy()]
+        end = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        at = np.repeat((np.cumsum(length) - length)[which] - end[:-1], n) + np.arange(end[-1])
+        return np.frombuffer(b"".join(each), "<u4")[at], end[split.offsets.to_numpy()]
+
+
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<"]] = True
+
+
+def parted(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets with a space before the signs that end a word behind an ASCII letter, and with small ASCII letters: the same ids from fewer words.
+
+    A letter before other than ASCII stays: only there the normalizer may join it with what follows, and not every small letter joins as its capital does.
+    """
+    letter, sign = _LETTER[data], _SIGN[data]
+    small = letter.copy()
+    small[:-1] &= data[1:] < 0x80
+    at = np.flatnonzero(letter[:-1] & sign[1:]) + 1
+    rest = np.flatnonzero(~sign)
+    ends = np.append((data[rest] == 0x20) | (data[rest] == 0x0A), True)
+    at = at[ends[np.searchsorted(rest, at)]]
+    return np.insert(np.where(small, data | 0x20, data), at, 0x20), off + np.searchsorted(at, off)
+
 
 _encoders: dict[str, TextEncoder] = {}
 
