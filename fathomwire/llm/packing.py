@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_text, stored
-from .tokens import encoder, texts_in
+from .common import empty_text, stored, text_slices
+from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,21 +46,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path).ids
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), texts_in(part.column(1)), strict=True):
-                    ids = ids_of(text) + end
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
-                        rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if with_ids else 5
-                yield pa.record_batch([pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[:n]], names[:n])
+        own = encoder(tokenizer_path)
+        try:
+            for batch in batches:
+                for i, j, data, off in text_slices(batch.column(1), 2 << 20):
+                    ids, bounds = own.many(data, off)
+                    rows = []
+                    for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                        raw = ids[a:b].tobytes() + end
+                        for k, at in enumerate(range(0, len(raw), step)):
+                            piece = raw[at : at + step]
+                            rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
+                    cols = list(zip(*rows, strict=True))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                    n = 6 if with_ids else 5
+                    yield pa.record_batch([pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[:n]], names[:n])
+        finally:  # Spark keeps the worker for other stages
+            own.forget()
 
     return docs.select(F.col("doc_id").cast("long"), empty_text().alias("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

@@ -49,6 +49,10 @@ class Recent(dict):
             self.older = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class TextEncoder:
     """``ids(text)``: the ids as little-endian unsigned 32-bit integers in a bytes object."""
@@ -111,6 +115,11 @@ class TextEncoder:
         """As ``_word``, for words that ``many`` has parted: one of small letters is one piece, and stands in one cache only."""
         return self._piece(word) if self.marked and word.islower() and word.isascii() and word.isalpha() and len(word) <= LONG_WORD else self._word(word)
 
+    def forget(self) -> None:
+        """Empty the caches, which hold up to some hundred MB."""
+        for cache in (self.words, self.parts, self.pieces):
+            cache.forget()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -168,9 +177,3 @@ def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
-
-
-def texts_in(column: pa.Array, step: int = 256):
-    """Python strings of a column, a few hundred at a time."""
-    for i in range(0, len(column), step):
-        yield from column.slice(i, step).to_pylist()

@@ -6,13 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from fathomwire.llm.common import work_path
-from fathomwire.llm.packing import best_fit, crossover, evolve, lower_bound, mutate, noisy, pack, pack_documents
+from fathomwire.llm.packing import best_fit, crossover, evolve, lower_bound, mutate, noisy, pack, pack_documents, token_pieces
 from fathomwire.llm.token_store import Codebook, code_lengths, pack_bits, read_token_store, unpack_bits, write_token_store
-from fathomwire.llm.tokens import TextEncoder
+from fathomwire.llm.tokens import TextEncoder, encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +39,29 @@ def test_other_tokenizers_go_whole():
     assert np.frombuffer(mine.ids("a  b c"), "<u4").tolist() == mine.tokenizer.encode("a  b c", add_special_tokens=False).ids
 
 
+def test_pieces_leave_no_cache(spark, plain):
+    """Spark keeps Python workers for later stages: a task's words must not stay in them."""
+
+    class Task:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    encoder(PATH).forget()
+    rng = random.Random(8)
+    texts = ["", *(" ".join("".join(rng.choices("abcdefghijk", k=7)) for _ in range(50)) + " end, it's" for _ in range(40)), "long " * 3000]
+    run = token_pieces(Task(), PATH)
+    got = [r for part in run(iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])) for r in zip(*part.to_pydict().values(), strict=True)]
+    expected = []
+    for doc, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        expected += [(doc, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert got == expected
+    assert not any(x for c in (encoder(PATH).words, encoder(PATH).parts, encoder(PATH).pieces) for x in (c, c.older))
+
+
 def test_code_lengths():
     assert code_lengths([], 8) == [] and code_lengths([5], 8) == [1]
     assert sorted(code_lengths([1, 1, 2, 4, 8], 8)) == [1, 2, 3, 4, 4]
